@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import langid, packing, simhash, urls
+from lantern.llm import langid, packing, simhash, suffixes, urls
 from lantern.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filters, op7_best_fit_packing)
+    f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filters, op7_best_fit_packing, op10_suffix_array_dedup)
 }
 
 ORACLES: dict[str, str] = {}
