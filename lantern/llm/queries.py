@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import html, langid, packing, pieces, simhash, suffixes, topk, urls
+from lantern.llm import html, langid, lines, packing, pieces, quality, simhash, suffixes, topk, urls
 from lantern.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_simhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_exact_top_k, op7_best_fit_packing,
-        op8_html_extraction, op10_suffix_array_dedup,
+        op1_language_id, op2_simhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_exact_top_k, op6_quality_rules,
+        op7_best_fit_packing, op8_html_extraction, op9_line_dedup, op10_suffix_array_dedup,
     )
 }
 
@@ -67,4 +75,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op9_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents
+        ), cut AS (
+            SELECT doc_id, pos, line AS whole, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, source
+            FROM lines
+        ), wide AS (
+            SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM cut
+            WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 5
+        ), told AS (
+            SELECT c.doc_id, c.pos, c.whole,
+                   w.line IS NOT NULL AND NOT (w.first.d = c.doc_id AND w.first.p = c.pos) AS gone
+            FROM cut c LEFT JOIN wide w ON w.line = c.line
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               md5(coalesce(string_agg(whole, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_md5
+        FROM told GROUP BY doc_id
+    """,
 }
