@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, sealed, shuffle_width, unsealed
+from lantern.llm.common import checkpoint, own_names, sealed, shuffle_width, unsealed
 
 SHINGLE = 3
 SEED = 42
@@ -240,3 +240,26 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.join(classes, "fp").select(
         unsealed("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """df's rows without the near copies: of each component one row stays, the first by doc_id
+    (null first), then by a hash of the text; of equal rows any one."""
+    text = F.col("text").cast("string")
+    key, th = own_names(df, "_doc", "_th")
+    docs = df.select(sealed("doc_id").alias("doc_id"), F.xxhash64(text).alias("th"), "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.array([fingerprint(x, shingle) for x in b["text"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": fp})
+
+    made = checkpoint(docs.mapInPandas(run, "doc_id long, th long, fp long"))
+    lowest = made.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("row"))
+    linked = components(links(lowest))
+    joined = lowest.join(linked, lowest["fp"] == linked["node"], "left").select("row", F.coalesce("component", "fp").alias("component"))
+    stays = joined.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(key), F.col("row.th").alias(th))
+    keyed = df.withColumn(key, sealed("doc_id")).withColumn(th, F.xxhash64(text))
+    left = keyed.join(stays, [key, th], "left_semi")
+    # Of rows that agree in id and text one is left.
+    return left.dropDuplicates([key, th]).select(*(F.col(f"`{c}`") for c in df.columns))

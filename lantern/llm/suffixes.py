@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import sealed, shuffle_width, text_or_empty, unsealed
+from lantern.llm.common import own_names, sealed, shuffle_width, text_or_empty, unsealed
 
 MIN = 100
 GRAM = 32
@@ -474,3 +474,30 @@ def remove_repeats(df: DataFrame, min_len: int = MIN, gram: int = GRAM, kinds_ma
     columns = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     out = _marked(df, min_len, gram, kinds_max).mapInPandas(_remove(columns), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(unsealed("doc").alias("doc_id"), *columns[1:])
+
+
+def without_repeats(df: DataFrame, min_len: int = MIN, gram: int = GRAM, kinds_max: int = KINDS_MAX) -> DataFrame:
+    """df's own columns, text without its later repeats and n_chars, if there, to match.
+
+    A cut that leaves bytes which are not UTF-8 keeps what is whole of each character. Rows
+    whose text loses nothing stay as they are, a null text included; of rows that agree in
+    doc_id and text each is changed alike."""
+    key, th, new = own_names(df, "_doc", "_th", "_kept")
+    columns = ["doc", "th", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inner = _remove(["doc", "n_removed", "kept"])
+        for b in batches:
+            out = next(iter(inner(iter([b]))))
+            changed = (out["n_removed"] > 0).to_numpy()
+            yield pd.DataFrame({"doc": b["doc"][changed], "th": b["th"][changed], "text": [x.decode("utf-8", "ignore") for x in out["kept"][changed]]})[columns]
+
+    marked = _marked(df, min_len, gram, kinds_max).where("spans is not null or more is not null or rare is not null")
+    told = marked.mapInPandas(run, "doc long, th int, text string").dropDuplicates(["doc", "th"])
+    told = told.select(F.col("doc").alias(key), F.col("th").alias(th), F.col("text").alias(new))
+    keyed = df.withColumn(key, sealed("doc_id")).withColumn(th, F.hash(text_or_empty("text").cast("string")))
+    d = keyed.join(told, [key, th], "left")
+    own = {"text": F.coalesce(F.col(new), F.col("text").cast("string"))}
+    if "n_chars" in df.columns:
+        own["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new))
+    return d.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in df.columns))
