@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ SHARD_ROWS = 40_000
 NEARLY_FULL = 4
 #: Each round deals what is left into this many times fewer shards at least.
 FAN_IN = 8
-MEMO = 500_000
+MEMO = 400_000
 
 #: Texts of these characters alone are split into pre-tokens here; others go whole
 #: to the tokenizer. On these characters the pattern is the tokenizer's own.
@@ -53,7 +54,8 @@ class Encoder:
     """ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
 
     A pre-token is encoded by the tokenizer once and remembered, up to MEMO of them;
-    a full memo is emptied and refilled."""
+    a full memo is emptied and refilled, and each task starts with an empty one, so that an idle
+    worker holds none."""
 
     _made: dict[str, Encoder] = {}
 
@@ -62,6 +64,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(model)
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
 
     @classmethod
     def of(cls, model: str) -> Encoder:
@@ -79,16 +84,14 @@ class Encoder:
             (joined if len(w) > 1 and w[0] == " " and w[1] not in " \n" else alone).append(w)
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        for k in range(0, len(joined), 2000):
-            # A pre-token that starts with one space ends the one before it, so many go in one call.
-            part = joined[k : k + 2000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            starts = np.array([o[0] for o in e.offsets])
-            ids = np.array(e.ids, "<u4").tobytes()
-            p = 0
-            for w, c in zip(part, np.searchsorted(starts, np.cumsum([len(w) for w in part])).tolist(), strict=True):
-                self.memo[w] = ids[4 * p : 4 * c]
-                p = c
+        for k in range(0, len(joined), 4000):
+            # A pre-token that starts with one space ends the one before it, so many go in one
+            # call; ids of tokens that start with a space tell where each begins.
+            part = joined[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [*np.nonzero(self.opens[ids])[0].tolist(), len(ids)]
+            data = ids.tobytes()
+            self.memo.update((w, data[4 * lo : 4 * hi]) for w, lo, hi in zip(part, cuts[:-1], cuts[1:], strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         plain = [None if _ODD(x) or "<|" in x else _PRETOKENS(x) for x in texts]
@@ -97,8 +100,8 @@ class Encoder:
             self.memo.clear()
             new = set().union(*(x for x in plain if x))
         self._learn(sorted(new))
-        get = self.memo.__getitem__
-        return [self._ids(x) if p is None else b"".join(map(get, p)) for x, p in zip(texts, plain, strict=True)]
+        self.memo[""] = b""
+        return [self._ids(x) if p is None else b"".join(itemgetter(*p, "")(self.memo)) for x, p in zip(texts, plain, strict=True)]
 
 
 def tokenize(df: DataFrame, model: str | None = None, size: int = SEQUENCE) -> DataFrame:
@@ -122,6 +125,7 @@ def tokenize(df: DataFrame, model: str | None = None, size: int = SEQUENCE) -> D
                         rows.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out
+        encoder.memo.clear()
 
     return df.select(sealed("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInPandas(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -7,7 +7,8 @@ model) and byte fallback, put together as a Tokenizers pipeline.
 
 If no piece has a marker behind another character, no piece crosses from one word to the
 next, and a text is encoded word by word: new words go to the library in multithreaded
-batches and are remembered (MEMO of them at most; a full memo is emptied). Each new word is
+batches and are remembered (MEMO of them at most; a full memo is emptied, and each task
+starts with an empty one). Each new word is
 also encoded by the sentencepiece library; where the two differ, the latter's ids count and
 parity is false for the texts that hold the word. Other models are encoded and compared
 text by text.
@@ -25,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from lantern.llm.common import sealed, unsealed
 
 MARK = "▁"
-MEMO = 500_000
+MEMO = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -151,6 +153,7 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.wrong: set[str] = set()
         names = [p for p, *_ in self.model.pieces]
+        self.opens = np.array([p.startswith(MARK) for p in names])
         self.mark = np.array([names.index(MARK) if MARK in names else self.model.unknown], "<u4").tobytes()
         byte = [bytes([int(p[3:5], 16)]) if t == BYTE else None for p, _, t in self.model.pieces]
         self.raw = [
@@ -179,14 +182,33 @@ class Codec:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = set().union(*words)
-        todo = sorted(new)
-        for w, (ids, same) in zip(todo, self._both([w[1:].replace(MARK, " ") for w in todo]), strict=True):
+        self._learn(sorted(new))
+        self.memo[""] = b""
+        return [(b"".join(itemgetter(*w, "")(self.memo)), not self.wrong or self.wrong.isdisjoint(w)) for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words, by both libraries. Words with one marker in front go many at a time:
+        a piece that starts with a marker begins the next word."""
+        alone = [w for w in new if len(w) == 1 or w[1] == MARK]
+        for w, (ids, same) in zip(alone, self._both([w[1:].replace(MARK, " ") for w in alone]), strict=True):
             # A marker alone is the empty text to either library; it is the marker's own piece here.
             self.memo[w] = ids if w != MARK else self.mark
             if not same:
                 self.wrong.add(w)
-        get = self.memo.__getitem__
-        return [(b"".join(map(get, w)), not self.wrong or self.wrong.isdisjoint(w)) for w in words]
+        others = [w for w in new if len(w) > 1 and w[1] != MARK]
+        parts = [others[k : k + 2000] for k in range(0, len(others), 2000)]
+        texts = [" ".join(w[1:] for w in p) for p in parts]
+        for part, text, mine in zip(parts, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            first, second = np.array(mine.ids, "<u4"), np.array(self.other.encode(text), "<u4")
+            theirs = self._cut(second)
+            self.memo.update(zip(part, theirs, strict=True))
+            if not np.array_equal(first, second):
+                self.wrong.update(w for w, a, b in zip(part, self._cut(first), theirs, strict=False) if a != b)
+
+    def _cut(self, ids: np.ndarray) -> list[bytes]:
+        data = ids.tobytes()
+        at = [*np.nonzero(self.opens[ids])[0].tolist(), len(ids)]
+        return [data[4 * lo : 4 * hi] for lo, hi in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -218,6 +240,7 @@ def encode(df: DataFrame, model: str | None = None, keep_ids: bool = False) -> D
                 if keep_ids:
                     out["ids"] = [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in done]
                 yield pd.DataFrame(out)
+        codec.memo.clear()
 
     schema = "doc_id long, n_ids long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * keep_ids
     out = df.select(sealed("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
