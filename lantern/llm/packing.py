@@ -66,6 +66,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.newline = vocabulary["\u010a"]
         self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
 
     @classmethod
@@ -78,20 +79,24 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        alone = []
-        joined = []
+        """Many pre-tokens go in one call where the ids tell where each begins."""
+        spaced, bare = [], []
         for w in new:
-            (joined if len(w) > 1 and w[0] == " " and w[1] not in " \n" else alone).append(w)
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        for k in range(0, len(joined), 4000):
-            # A pre-token that starts with one space ends the one before it, so many go in one
-            # call; ids of tokens that start with a space tell where each begins.
-            part = joined[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [*np.nonzero(self.opens[ids])[0].tolist(), len(ids)]
-            data = ids.tobytes()
-            self.memo.update((w, data[4 * lo : 4 * hi]) for w, lo, hi in zip(part, cuts[:-1], cuts[1:], strict=True))
+            if w[0] == " " and len(w) > 1 and w[1] not in " \n":
+                spaced.append(w)  # one space begins a pre-token and nothing else
+            elif w[0] in " \n":
+                self.memo[w] = self._ids(w)
+            else:
+                bare.append(w)  # set apart by newlines, which it does not hold
+        for words, join in ((spaced, ""), (bare, "\n")):
+            parts = [words[k : k + 4000] for k in range(0, len(words), 4000)]
+            done = self.tokenizer.encode_batch_fast([join.join(p) for p in parts], add_special_tokens=False)
+            for part, e in zip(parts, done, strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = np.nonzero(self.opens[ids] if not join else ids == self.newline)[0].tolist()
+                lo, hi = (at, [*at[1:], len(ids)]) if not join else ([0, *(k + 1 for k in at)], [*at, len(ids)])
+                data = ids.tobytes()
+                self.memo.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, lo, hi, strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         plain = [None if _ODD(x) or "<|" in x else _PRETOKENS(x) for x in texts]
