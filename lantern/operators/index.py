@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions.terms import grams
 from lantern.operators.fragments import assign_segments, fragment_rows, number_fragments
-from lantern.plans.physical import checkpoint, number_rows
+from lantern.plans.physical import checkpoint, number_rows, spread
 
 VERSION = 4
 TABLES = ("documents", "fragments", "postings", "doc_postings", "segments", "corpus_stats")
@@ -108,7 +108,7 @@ def build(docs: DataFrame, numbered: bool = False) -> Index:
     """An index of docs (path, title, type, text; doc_id if numbered, else by rank of path)."""
     if not numbered:
         docs = number_rows(docs, "doc_id", "path")
-    frags = checkpoint(number_fragments(fragment_rows(docs)))
+    frags = checkpoint(number_fragments(fragment_rows(spread(docs))))
     listed = doc_stats(docs.select("doc_id", "path", "title", "type"), frags)
     total = frags.agg(F.count("*").alias("total"))
     listed = checkpoint(listed.crossJoin(F.broadcast(total)).withColumn("first_fragment_id", F.coalesce("first_fragment_id", "total")).drop("total"))

@@ -50,3 +50,9 @@ def running_before(df: DataFrame, name: str, weight: str, *keys: str) -> DataFra
     w = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(weight).over(w), F.lit(0))
     return ranged.withColumn(name, (local + offsets(ranged, F.col(weight))).cast("long")).drop("_part")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the cluster has slots, if its input has fewer parts; as it is otherwise."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

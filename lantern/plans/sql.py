@@ -60,20 +60,29 @@ UNITS = (
     SELECT doc_id, flatten(list(CASE WHEN strlen(p) <= {fixed.FRAGMENT_BYTES} THEN [p] ELSE {_sentences('p')} END ORDER BY k)) AS units
     FROM paras GROUP BY doc_id)""",
 )
+_EMPTY = "{'done': CAST([] AS VARCHAR[]), 'cur': '', 'hard': false}"
 _PACK_STEP = (
-    f"lambda a, b: CASE WHEN strlen(a.cur) + strlen(b.cur) + 2 > {fixed.FRAGMENT_BYTES} "
-    "THEN {'done': list_append(a.done, a.cur), 'cur': b.cur} ELSE {'done': a.done, 'cur': a.cur || chr(10) || chr(10) || b.cur} END"
+    "lambda a, b: CASE WHEN b.hard THEN {'done': list_append(CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END, b.cur), 'cur': '', 'hard': false} "
+    f"WHEN a.cur <> '' AND strlen(a.cur) + strlen(b.cur) + 2 > {fixed.FRAGMENT_BYTES} THEN {{'done': list_append(a.done, a.cur), 'cur': b.cur, 'hard': false}} "
+    "ELSE {'done': a.done, 'cur': CASE WHEN a.cur = '' THEN b.cur ELSE a.cur || chr(10) || chr(10) || b.cur END, 'hard': false} END"
+)
+#: A unit over the limit is cut by characters here, so the comparison holds where it is ASCII.
+_ITEMS = (
+    f"flatten(list_transform(units, lambda u: CASE WHEN strlen(u) <= {fixed.FRAGMENT_BYTES} THEN [{{'done': CAST([] AS VARCHAR[]), 'cur': u, 'hard': false}}] "
+    f"ELSE list_transform(regexp_extract_all(u, '(?s).{{1,{fixed.FRAGMENT_BYTES // 2}}}.{{0,{fixed.FRAGMENT_BYTES // 2}}}'), "
+    f"lambda p: {{'done': CAST([] AS VARCHAR[]), 'cur': trim(p, {BLANKS}), 'hard': true}}) END))"
 )
 FRAGMENTS = (
     *UNITS,
     f"""packed AS (
-    SELECT doc_id, list_reduce(list_transform(units, lambda u: {{'done': CAST([] AS VARCHAR[]), 'cur': u}}), {_PACK_STEP}) AS x FROM unit_lists)""",
+    SELECT doc_id, CASE WHEN x.cur = '' THEN x.done ELSE list_append(x.done, x.cur) END AS parts
+    FROM (SELECT doc_id, list_reduce(list_prepend({_EMPTY}, {_ITEMS}), {_PACK_STEP}) AS x FROM unit_lists))""",
     f"""parts AS (
     SELECT c.doc_id, 0 AS k, '{fixed.META_NAME}' || title || chr(10) || '{fixed.META_TITLE}' || regexp_replace(title, '\\.[^.]*$', '') || chr(10)
            || '{fixed.META_PATH}' || path || chr(10) || '{fixed.META_TYPE}' || type || chr(10)
            || CASE WHEN trim(text, {BLANKS}) = '' THEN '{fixed.META_NO_TEXT}' ELSE '' END AS text FROM corpus c
     UNION ALL
-    SELECT doc_id, generate_subscripts(list_append(x.done, x.cur), 1) AS k, trim(unnest(list_append(x.done, x.cur)), {BLANKS}) AS text FROM packed)""",
+    SELECT doc_id, generate_subscripts(parts, 1) AS k, trim(unnest(parts), {BLANKS}) AS text FROM packed)""",
     f"parts_raw AS (SELECT doc_id, k, unnest({raw('text')}) AS raw FROM parts)",
     "words AS (SELECT raw, " + norm("raw") + " AS term FROM (SELECT DISTINCT raw FROM parts_raw))",
     "part_terms AS (SELECT doc_id, k, term, count(*) AS tf FROM parts_raw JOIN words USING (raw) WHERE term IS NOT NULL GROUP BY ALL)",
