@@ -60,14 +60,22 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(model)
         self.memo: dict[str, bytes] = {}
+        # The same model behind a plain split at newlines, for pre-tokens in its own alphabet of
+        # one character per byte: printable Latin-1 stands for itself, other bytes for 256 upwards.
+        self.inner = Tokenizer(self.tokenizer.model)
+        self.inner.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = (b for b in range(256) if b not in printable)
+        self.shown = {b: chr(256 + k) for k, b in enumerate(others) if b != 10}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.newline = chr(256 + list(b for b in range(256) if b not in printable).index(10))
+        self.newline_id = vocabulary[self.newline]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.newline = vocabulary["\u010a"]
-        self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.opens[[k for token, k in vocabulary.items() if token.startswith(self.shown[32])]] = True
 
     @classmethod
     def of(cls, model: str) -> Encoder:
@@ -79,22 +87,26 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """Many pre-tokens go in one call where the ids tell where each begins."""
+        """Many pre-tokens go in one call, set apart by newlines, which none of them holds."""
         spaced, bare = [], []
         for w in new:
             if w[0] == " " and len(w) > 1 and w[1] not in " \n":
-                spaced.append(w)  # one space begins a pre-token and nothing else
+                spaced.append(w)  # its first id is of a token that starts with a space, and no other is
             elif w[0] in " \n":
                 self.memo[w] = self._ids(w)
             else:
-                bare.append(w)  # set apart by newlines, which it does not hold
-        for words, join in ((spaced, ""), (bare, "\n")):
+                bare.append(w)
+        for words, apart in ((spaced, "\n"), (bare, f"\n{self.newline}\n")):
             parts = [words[k : k + 4000] for k in range(0, len(words), 4000)]
-            done = self.tokenizer.encode_batch_fast([join.join(p) for p in parts], add_special_tokens=False)
-            for part, e in zip(parts, done, strict=True):
+            texts = [apart.join("\n".join(p).encode().decode("latin-1").translate(self.shown).split("\n")) for p in parts]
+            for part, e in zip(parts, self.inner.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                at = np.nonzero(self.opens[ids] if not join else ids == self.newline)[0].tolist()
-                lo, hi = (at, [*at[1:], len(ids)]) if not join else ([0, *(k + 1 for k in at)], [*at, len(ids)])
+                if words is spaced:
+                    lo = np.nonzero(self.opens[ids])[0].tolist()
+                    hi = [*lo[1:], len(ids)]
+                else:  # a newline's own id stands between
+                    hi = [*np.nonzero(ids == self.newline_id)[0].tolist(), len(ids)]
+                    lo = [0, *(k + 1 for k in hi[:-1])]
                 data = ids.tobytes()
                 self.memo.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, lo, hi, strict=True))
 
