@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import SPACES, checkpoint, own_names, sealed
+from lantern.llm.common import SPACES, own_names, sealed
 
 MIN_SITES = 5
 LG_REGISTERS = 12
@@ -40,12 +40,12 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -
     """(doc, th, pos) of every line to remove."""
     lines = _lines(df)
     spread = lines.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b").select("h1", "h2")
-    several = checkpoint(lines.join(spread, ["h1", "h2"]))
+    several = lines.join(spread, ["h1", "h2"])  # its exchange is reused by all that follows
     sketched = several.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("sites"))
     sure = sketched.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
     near = sketched.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("h1", "h2")
     counted = several.join(near, ["h1", "h2"]).select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    chosen = checkpoint(sure.unionByName(counted.where(F.col("sites") >= min_sites).select("h1", "h2")))
+    chosen = sure.unionByName(counted.where(F.col("sites") >= min_sites).select("h1", "h2"))
     places = several.join(chosen, ["h1", "h2"]).select("h1", "h2", F.struct("doc", "th", "pos").alias("place"))
     first = places.groupBy("h1", "h2").agg(F.min("place").alias("place"))
     kept = first.select("h1", "h2", F.col("place").alias("first"))
