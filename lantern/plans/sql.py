@@ -170,18 +170,28 @@ def grams(x: str) -> str:
     return _GRAMS.format(x)
 
 
+#: The SQL engine's edit distance counts bytes; letters beyond ASCII that the tables hold get one byte each.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüàâáúîôûëïù" + "".join(map(chr, range(0x430, 0x450)))
+_NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_`{|}~" + "".join(map(chr, range(1, 9)))
+
+
+def narrow(x: str) -> str:
+    return f"translate({x}, '{_WIDE}', '{_NARROW}')"
+
+
+_DISTANCE = f"levenshtein({narrow('term')}, {narrow('candidate')})"
 FUZZY = (
     f"vgrams AS (SELECT DISTINCT unnest({grams('term')}) AS gram, term AS candidate FROM (SELECT DISTINCT term FROM dposts))",
     f"asked AS (SELECT term, unnest({grams('term')}) AS gram FROM (SELECT DISTINCT term FROM base WHERE length(term) >= 4))",
     "shared AS (SELECT term, candidate, count(*) AS overlap FROM asked JOIN vgrams USING (gram) GROUP BY ALL)",
     f"""near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY overlap DESC, candidate) AS INTEGER) AS place FROM shared)
         WHERE place <= {fixed.FUZZY_CANDIDATES})""",
-    f"""matched AS (SELECT term, candidate, place, levenshtein(term, candidate) AS distance,
-        CASE WHEN levenshtein(term, candidate) = 1 THEN CAST({fixed.ONE_EDIT_WEIGHT} AS DOUBLE) ELSE CAST({fixed.TWO_EDIT_WEIGHT} AS DOUBLE) END AS weight FROM near
+    f"""matched AS (SELECT term, candidate, place, {_DISTANCE} AS distance,
+        CASE WHEN {_DISTANCE} = 1 THEN CAST({fixed.ONE_EDIT_WEIGHT} AS DOUBLE) ELSE CAST({fixed.TWO_EDIT_WEIGHT} AS DOUBLE) END AS weight FROM near
         WHERE abs(length(term) - length(candidate)) <= CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END
           AND (left(term, 1) = left(candidate, 1) OR right(term, 1) = right(candidate, 1))
           AND (len({grams('term')}) < 3 OR overlap >= 2)
-          AND levenshtein(term, candidate) <= CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END)""",
+          AND {_DISTANCE} <= CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END)""",
     """fz_rows AS (SELECT qid, list({'pos': pos, 'cand': candidate, 'w': weight, 'out': CAST([] AS STRUCT(term VARCHAR, weight DOUBLE)[]), 'known': CAST([] AS VARCHAR[]), 'added': 0}
         ORDER BY pos, place) AS rows FROM base JOIN matched USING (term) GROUP BY qid)""",
     "fz_known AS (SELECT qid, list(term) AS known FROM expanded GROUP BY qid)",
