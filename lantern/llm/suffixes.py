@@ -11,7 +11,7 @@ the strings that could repeat are found first, exactly and without their text:
    throughout. An anchor with a single kind of run needs nothing more. Only where runs of
    one anchor differ, or a run repeats within itself, is one run of each kind looked up.
 3. These runs are concatenated, about BATCH bytes at a time, into an enhanced suffix array
-   (prefix doubling; common prefix lengths from the rank levels). A stack scan builds the
+   (prefix tripling; common prefix lengths from the rank levels). A stack scan builds the
    tree of common-prefix intervals; an interval whose occurrences are preceded by different
    bytes is a maximal repeat, reported with all its occurrences. Every occurrence but the
    first is a repeat.
@@ -44,7 +44,7 @@ from lantern.llm.common import own_names, sealed, shuffle_width, text_or_empty,
 MIN = 100
 GRAM = 32
 SLAB = 1 << 20
-BATCH = 1 << 20
+BATCH = 900_000
 KINDS_MAX = 2048
 
 ANCHOR, SELF, SPAN = 0, 1, 2  # kinds of rows by anchor; SELF: may repeat within itself
@@ -240,16 +240,21 @@ class Enhanced:
         for k in range(self.PACK):
             key = (key << 9) | padded[k : k + n]
         levels = [self._ranks(key)]
-        size, longest = self.PACK, int(lengths.max(initial=0))
-        while size < longest and levels[-1].max() < n - 1:
-            r = levels[-1]
-            nxt = np.zeros(n, np.int64)
-            nxt[: max(0, n - size)] = r[size:] + 1
-            levels.append(self._ranks(r * (n + 1) + nxt))
-            size *= 2
+        longest = int(lengths.max(initial=0))
+        sizes = [self.PACK]
+        # Ranks of three neighbours make the next rank while they fit in 63 bits, else of two.
+        join = 3 if n < 1 << 20 else 2
+        while sizes[-1] < longest and levels[-1].max() < n - 1:
+            r, key = levels[-1], levels[-1]
+            for k in range(1, join):
+                nxt = np.zeros(n, np.int64)
+                nxt[: max(0, n - k * sizes[-1])] = r[k * sizes[-1] :] + 1
+                key = key * (n + 1) + nxt
+            levels.append(self._ranks(key))
+            sizes.append(sizes[-1] * join)
         sa = np.argsort(levels[-1], kind="stable")
         self.sa = sa[self.rest[sa] >= min_len]  # only suffixes that can hold such a string
-        self.lcp = self._common(levels, data)
+        self.lcp = self._common(levels, sizes, join, data)
         self.before = np.where(self.sa > self.starts[self.segment[self.sa]], data[self.sa - 1], -1)
 
     @staticmethod
@@ -260,14 +265,15 @@ class Enhanced:
         out[order] = np.r_[0, np.cumsum(s[1:] != s[:-1])]
         return out
 
-    def _common(self, levels: list[np.ndarray], data: np.ndarray) -> np.ndarray:
+    def _common(self, levels: list[np.ndarray], sizes: list[int], join: int, data: np.ndarray) -> np.ndarray:
         """lcp[i]: of suffixes i and i + 1 of sa."""
         n = len(data)
         i, j = self.sa[:-1], self.sa[1:]
         out = np.zeros(len(i), np.int64)
-        for level in range(len(levels) - 1, -1, -1):
-            a, b = np.minimum(i + out, n - 1), np.minimum(j + out, n - 1)
-            out += np.where(levels[level][a] == levels[level][b], self.PACK << level, 0)
+        for ranks, size in zip(reversed(levels), reversed(sizes), strict=True):
+            for _ in range(join - 1):
+                a, b = np.minimum(i + out, n - 1), np.minimum(j + out, n - 1)
+                out += np.where(ranks[a] == ranks[b], size, 0)
         for _ in range(self.PACK - 1):
             a, b = np.minimum(i + out, n - 1), np.minimum(j + out, n - 1)
             go = (data[a] == data[b]) & (out >= 0)
