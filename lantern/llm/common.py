@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import TypeVar
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +65,22 @@ def sealed(column: str) -> Column:
 
 def unsealed(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
+
+
+Batch = TypeVar("Batch")
+
+
+def released(run: Callable[[Iterator[Batch]], Iterator[Batch]]) -> Callable[[Iterator[Batch]], Iterator[Batch]]:
+    """run, giving back at the end of a task the memory that allocators would keep for later: a
+    worker waits for its next task beside a JVM that may need it."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[Batch]) -> Iterator[Batch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped

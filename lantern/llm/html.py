@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import sealed, unsealed
+from lantern.llm.common import released, sealed, unsealed
 
 PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 8
 INPUT = PATH_DIMS + WORD_DIMS + MEASURES
@@ -393,6 +393,7 @@ def extract(df: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of (page_id, url, html)."""
     told = df.sparkSession.sparkContext.broadcast((labeller or trained()).w)  # a few thousand weights
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Labeller()
         own.w = told.value

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import own_names, sealed, unsealed
+from lantern.llm.common import own_names, released, sealed, unsealed
 
 BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 800
@@ -164,6 +164,7 @@ def identify_documents(df: DataFrame) -> DataFrame:
     rows = df.select(sealed("doc_id").alias("doc_id"), "text")
     told = df.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame([told.value.predict(x) for x in b["text"]], columns=["lang_pred", "score", "n_languages"])

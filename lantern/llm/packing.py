@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, sealed, unsealed
+from lantern.llm.common import checkpoint, released, sealed, unsealed
 
 SEQUENCE = 2048
 END_ID = 0
@@ -126,6 +126,7 @@ def tokenize(df: DataFrame, model: str | None = None, size: int = SEQUENCE) -> D
     model = model or _default_model()
     tail = np.array([END_ID], "<u4").tobytes()
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder.of(model)
         for b in batches:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import sealed, unsealed
+from lantern.llm.common import released, sealed, unsealed
 
 MARK = "▁"
 MEMO = 400_000
@@ -227,6 +227,7 @@ def encode(df: DataFrame, model: str | None = None, keep_ids: bool = False) -> D
     """doc_id, n_ids, ids_crc32, parity, round_trip of every text, and the ids if asked for."""
     path = model or _default_model()
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.of(path)
         for b in batches:
@@ -251,6 +252,7 @@ def decode(df: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, text of every row of (doc_id, ids); null ids give an empty text."""
     path = model or _default_model()
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.of(path)
         for b in batches:

@@ -34,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, own_names, sealed, shuffle_width, unsealed
+from lantern.llm.common import checkpoint, own_names, released, sealed, shuffle_width, unsealed
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 MIN_BYTES = 5
 LIST_MAX = 4096
+EDGES_PER_PART = 500_000
 
 #: The fourteen blocks of S(3,4,8), as positions 0 to 7.
 BLOCKS = (
@@ -68,6 +69,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id (sealed) and fp, the fingerprint's 64 bits as a signed long."""
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(x, shingle) for x in b["text"]], dtype=np.uint64).view(np.int64)
@@ -118,6 +120,7 @@ def _key(fps: np.ndarray, positions: tuple[int, ...], width: int) -> np.ndarray:
     return out
 
 
+@released
 def _post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fps = b["fp"].to_numpy().view(np.uint64)
@@ -128,6 +131,7 @@ def _post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+@released
 def _post_finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A member of an oversized list under five of the eight half bytes that its key leaves open."""
     chosen = list(combinations(range(8), 5))
@@ -145,6 +149,7 @@ def _scan_lists(bounded: bool):
     """Rows sorted by list and key -> forest edges (u > v); a list over LIST_MAX comes back as
     rows for finer lists (v null) unless lists are bounded."""
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[np.ndarray] = []
         head: tuple[int, int] | None = None
@@ -210,6 +215,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     with the smaller ones. Both are one grouped minimum and one join on the node, so a node
     with very many neighbours is combined before the shuffle and split in the join."""
     pairs = checkpoint(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
+    # A round leaves no more edges than it took, so few files hold the edges of the next.
+    parts = max(1, -(-pairs.count() // EDGES_PER_PART))
     seen = None
     while True:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -218,7 +225,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        stars = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        pairs = checkpoint(stars.coalesce(parts))
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -249,6 +257,7 @@ def keep_one(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     key, th = own_names(df, "_doc", "_th")
     docs = df.select(sealed("doc_id").alias("doc_id"), F.xxhash64(text).alias("th"), "text")
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(x, shingle) for x in b["text"]], dtype=np.uint64).view(np.int64)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import own_names, sealed, shuffle_width, text_or_empty, unsealed
+from lantern.llm.common import own_names, released, sealed, shuffle_width, text_or_empty, unsealed
 
 MIN = 100
 GRAM = 32
@@ -119,6 +119,7 @@ def _rows_by_anchor(min_len: int, gram: int):
             size += len(x)
         yield lo, len(texts)
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.sort_values(["doc", "th"], kind="stable").drop_duplicates(["doc", "th"])
@@ -158,6 +159,7 @@ def _rows_by_anchor(min_len: int, gram: int):
 def _meet(min_len: int, kinds_max: int):
     """Rows sorted by anchor, run bytes and place -> rows by document (kind, a, s, e)."""
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None  # the row before, as (a, v, doc, th, s)
         held: list[tuple] = []  # first runs of each kind of the anchor now open
@@ -350,6 +352,7 @@ def later_spans(segments: list[bytes], doc: np.ndarray, start: np.ndarray, min_l
     return seg[w], at[w], at[w] + np.array(size, np.int64)
 
 
+@released
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with what is asked of them -> (a, doc, th, s, part)."""
     for b in batches:
@@ -375,6 +378,7 @@ def _scan(min_len: int):
         place, low = seg[first], (1 << 33) - 1
         return pd.DataFrame({"doc": rows["doc"].to_numpy()[place], "th": rows["th"].to_numpy()[place], "s": begin[first] & low, "e": reach[stop] & low})
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
@@ -402,6 +406,7 @@ def _scan(min_len: int):
 
 
 def _windows(min_len: int):
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, th, s, part in zip(b["doc"], b["th"], b["s"], b["part"], strict=True):
@@ -421,6 +426,7 @@ def _remove(columns: list[str]):
                 out.append((s, e))
         return out
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -491,6 +497,7 @@ def without_repeats(df: DataFrame, min_len: int = MIN, gram: int = GRAM, kinds_m
     key, th, new = own_names(df, "_doc", "_th", "_kept")
     columns = ["doc", "th", "text"]
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inner = _remove(["doc", "n_removed", "kept"])
         for b in batches:
