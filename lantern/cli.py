@@ -16,8 +16,7 @@ from pyspark.sql import SparkSession
 
 from lantern.functions import fixed
 from lantern.functions.terms import BLANKS
-from lantern.operators import index, present, search
-from lantern.sources.files import read_folder
+from lantern.operators import cache, index, present, search
 
 DEFAULT_INDEX = "docsearch.idx"
 
@@ -77,13 +76,6 @@ def session(threads: int = 0) -> SparkSession:
     return SparkSession.builder.master(f"local[{n}]").config("spark.sql.shuffle.partitions", n).config("spark.ui.enabled", "false").getOrCreate()
 
 
-def _index_of(spark: SparkSession, folder: str) -> index.Index | None:
-    docs = read_folder(spark, folder)
-    if not docs.head(1):
-        return None
-    return index.build(docs)
-
-
 def answer_text(spark: SparkSession, ix: index.Index, o: Options, query: str) -> str:
     q = spark.createDataFrame([(0, query)], "qid long, text string")
     found = search.search(ix, q, o.limit).cache()
@@ -118,12 +110,13 @@ def _run(args: list[str]) -> int:
         return 1
     spark = session(o.threads)
     if verb in ("build", "query"):
-        ix = _index_of(spark, rest[0])
+        ix, seen = cache.build_folder(spark, rest[0])
         if ix is None:
             print("Index is empty. Check document folder and supported formats.", file=sys.stderr)
             return 1
         if verb == "build":
             ix.save(o.output)
+            print(f"Cache hits {seen['cache_hits']}/{seen['files']}")
             print(f"{o.output}: {index.Index.load(spark, o.output).counts()}")
             return 0
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lantern import cli
 from lantern.functions import fixed
-from lantern.operators import expand, fragments, index, present, search
+from lantern.operators import cache, expand, fragments, index, present, search
 from lantern.sources import files
 from lantern.streaming import incremental
 
@@ -171,6 +171,22 @@ def test_cache_reuse(spark):
     assert [r["rel_key"] for r in kept.collect()] == ["a"] and sorted(r["rel_key"] for r in todo.collect()) == ["b", "c"]
 
 
+def test_folder_cache(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "cache")
+    root.mkdir()
+    write_folder(root)
+    first, counts = cache.refresh(spark, str(root), store)
+    cold = sorted(map(str, first.collect()))
+    assert counts == {"files": 8, "extracted": 8, "cache_hits": 0}
+    warm, counts = cache.refresh(spark, str(root), store)
+    assert counts["cache_hits"] == 8 and sorted(map(str, warm.collect())) == cold
+    (root / "empty.txt").write_text("now it has text")
+    (root / "w.docx").unlink()
+    docs, counts = cache.refresh(spark, str(root), store)
+    assert counts == {"files": 7, "extracted": 1, "cache_hits": 6} and docs.where("text = 'now it has text'").count() == 1
+    assert cache.load(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stream_of_documents(spark, tmp_path):
     src = tmp_path / "src"
     docs_of(spark, ["first text here", "second text"]).drop("doc_id").write.parquet(str(src))
@@ -186,6 +202,8 @@ def test_stream_of_documents(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda threads=0: spark)
+    (tmp_path / "at").mkdir()
+    monkeypatch.chdir(tmp_path / "at")
     write_folder(tmp_path)
     ix = str(tmp_path / "ix")
     assert cli.main(["build", str(tmp_path), "-o", ix]) == 0 and cli.main(["search", ix, "договор", "--answer", "--no-color"]) == 0
