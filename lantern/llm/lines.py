@@ -39,17 +39,20 @@ def _lines(df: DataFrame) -> DataFrame:
 def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """(doc, th, pos) of every line to remove."""
     lines = _lines(df)
-    spread = lines.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b").select("h1", "h2")
-    several = lines.join(spread, ["h1", "h2"])  # its exchange is reused by all that follows
-    sketched = several.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("sites"))
-    sure = sketched.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
-    near = sketched.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("h1", "h2")
-    counted = several.join(near, ["h1", "h2"]).select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    chosen = sure.unionByName(counted.where(F.col("sites") >= min_sites).select("h1", "h2"))
-    places = several.join(chosen, ["h1", "h2"]).select("h1", "h2", F.struct("doc", "th", "pos").alias("place"))
-    first = places.groupBy("h1", "h2").agg(F.min("place").alias("place"))
-    kept = first.select("h1", "h2", F.col("place").alias("first"))
-    return places.join(kept, ["h1", "h2"]).where(F.col("place") != F.col("first")).select("place.doc", "place.th", "place.pos")
+    place = F.struct("doc", "th", "pos")
+    # One row per line and site, combined before the shuffle: a line of all documents is a few rows.
+    sites = lines.groupBy("h1", "h2", "site").agg(F.min(place).alias("place"))
+    spread = sites.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("place").alias("first")).where("a < b")
+    several = sites.join(spread.select("h1", "h2", "first"), ["h1", "h2"])
+    sketched = several.groupBy("h1", "h2").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("sites"), F.min("first").alias("first")
+    )
+    sure = sketched.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2", "first")
+    near = sketched.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("h1", "h2", "first")
+    counted = sites.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"), F.min("first").alias("first"))
+    chosen = sure.unionByName(counted.where(F.col("sites") >= min_sites).select("h1", "h2", "first"))
+    # Nothing above this join needs a line's rows together, so a hot line's can be split.
+    return lines.join(chosen, ["h1", "h2"]).where(place != F.col("first")).select("doc", "th", "pos")
 
 
 def marked(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> tuple[DataFrame, str]:
