@@ -58,7 +58,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _url_sql() -> str:
+    """The URL rules as SQL: the longest that fits, else the host globs as regular expressions."""
+    order = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in order]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, order, strict=True))
+    verdict = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in order)
+    globs = ("".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else f"\\{c}") for c in g) for g in urls.BLOCK_HOSTS)
+    hits = " + ".join(f"CAST(regexp_full_match('.' || host, '(?s){g}') AS INTEGER)" for g in globs)
+    return f"""
+        WITH parts AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), ruled AS (SELECT *, CASE {rule} END AS rule, {hits} AS globs_hit FROM parts)
+        SELECT page_id, host, path, rule, CASE {verdict} WHEN globs_hit > 0 THEN 'block' ELSE 'allow' END AS verdict, globs_hit FROM ruled
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op3_url_filters": _url_sql(),
     "op5_exact_top_k": """
         WITH ok AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
