@@ -44,6 +44,20 @@ _ODD = re.compile("[^ -~\nÀ-ÖØ-öø-ÿ]").search
 _PRETOKENS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+").findall
 
 
+#: Characters of a text that are encoded at once.
+PORTION = 1 << 20
+_BREAK = re.compile(" (?=[A-Za-z])").search
+
+
+def portions(text: str) -> list[str]:
+    """A long text in parts that are encoded on their own: a space before a letter begins a pre-token."""
+    out, at = [], 0
+    while len(text) - at > PORTION and (m := _BREAK(text, at + PORTION)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
 def _default_model() -> str:
     import public_tokenizers
 
@@ -111,6 +125,11 @@ class Encoder:
                 self.memo.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, lo, hi, strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if any(len(x) > PORTION for x in texts):
+            return [b"".join(self._batch([p])[0] for p in portions(x)) for x in texts]
+        return self._batch(texts)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         plain = [None if _ODD(x) or "<|" in x else _PRETOKENS(x) for x in texts]
         new = set().union(*(x for x in plain if x)).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:

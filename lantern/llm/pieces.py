@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm.common import released, sealed, unsealed
+from lantern.llm.packing import PORTION, portions
 
 MARK = "▁"
 MEMO = 400_000
@@ -177,7 +178,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         if not self.model.by_word:
             return self._both(texts)
-        words = [_WORDS(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
+        if any(len(x) > PORTION for x in texts):
+            return [self._long(x) for x in texts]
+        return self._words([_WORDS(MARK + x.replace(" ", MARK)) if x else [] for x in texts])
+
+    def _long(self, text: str) -> tuple[bytes, bool]:
+        """A text part by part; a part but the first begins with the space before a letter."""
+        done = [self._words([_WORDS(MARK * (k == 0 and bool(text)) + p.replace(" ", MARK))])[0] for k, p in enumerate(portions(text))]
+        return b"".join(ids for ids, _ in done), all(same for _, same in done)
+
+    def _words(self, words: list[list[str]]) -> list[tuple[bytes, bool]]:
         new = set().union(*words).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()

@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,6 +43,9 @@ MAX_BITS = 3
 MIN_BYTES = 5
 LIST_MAX = 4096
 EDGES_PER_PART = 500_000
+#: Bytes of a text whose words are held at once.
+SLAB = 1 << 20
+_GAP = re.compile(rb"[ \t\n\x0b\f\r]").search
 
 #: The fourteen blocks of S(3,4,8), as positions 0 to 7.
 BLOCKS = (
@@ -50,20 +54,37 @@ BLOCKS = (
 )
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, a slab of its words at a time."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
     digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        hashes = [digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)), strict=False)]
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 65536):
-        part = np.array(hashes[lo : lo + 65536], dtype=">u8")
-        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    carried: list[bytes] = []
+    few = True
+    at = 0
+    while at < len(data):
+        end = at + SLAB
+        if end < len(data):
+            gap = _GAP(data, end)
+            end = gap.start() if gap else len(data)
+        words = carried + data[at:end].split()
+        at = end
+        if len(words) >= shingle:
+            few = False
+            yield np.array([digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)), strict=False)], dtype=">u8")
+        carried = words[-(shingle - 1) :] if shingle > 1 else []
+        if few:
+            carried = words
+    if few and carried:
+        yield np.array([digest(b" ".join(carried), SEED)], dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        total += len(hashes)
+        for lo in range(0, len(hashes), 65536):
+            ones += np.unpackbits(hashes[lo : lo + 65536].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -110,29 +110,37 @@ def runs(texts: list[bytes], min_len: int = MIN, gram: int = GRAM) -> tuple[np.n
 def _rows_by_anchor(min_len: int, gram: int):
     columns = ["a", "v", "doc", "th", "s", "n", "kind"]
 
-    def slabs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-        lo = size = 0
-        for k, x in enumerate(texts):
-            if size and size + len(x) > SLAB:
-                yield lo, k
-                lo, size = k, 0
-            size += len(x)
-        yield lo, len(texts)
+    def slabs(parts: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+        held, size = [], 0
+        for p in parts:
+            if held and size + len(p[2]) > SLAB:
+                yield held
+                held, size = [], 0
+            held.append(p)
+            size += len(p[2])
+        if held:
+            yield held
+
+    def cut(k: int, x: bytes) -> list[tuple[int, int, bytes]]:
+        """(document, start, bytes): a long document in pieces that share no string but miss none."""
+        return [(k, p, x[p : p + SLAB + min_len - 1]) for p in range(0, max(1, len(x) - min_len + 1), SLAB)]
 
     @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.sort_values(["doc", "th"], kind="stable").drop_duplicates(["doc", "th"])
             docs, ths = b["doc"].to_numpy(), b["th"].to_numpy()
-            texts = [x.encode("utf-8", "surrogatepass") for x in b["text"]]
+            pieces = [p for k, x in enumerate(b["text"]) for p in cut(k, x.encode("utf-8", "surrogatepass"))]
             parts = []
-            for lo, hi in slabs(texts):
-                which, s, n, a, within = runs(texts[lo:hi], min_len, gram)
-                which = which + lo
-                views = [memoryview(x) for x in texts[lo:hi]]
+            for slab in slabs(pieces):
+                which, s, n, a, within = runs([x for *_, x in slab], min_len, gram)
+                views = [memoryview(x) for *_, x in slab]
                 digest = xxhash.xxh3_64_intdigest
-                v = np.array([digest(views[w - lo][p : p + k]) for w, p, k in zip(which.tolist(), s.tolist(), (n + min_len - 1).tolist(), strict=True)], dtype=np.uint64)
-                parts.append((which, s, n, a, within, v))
+                v = np.array([digest(views[w][p : p + k]) for w, p, k in zip(which.tolist(), s.tolist(), (n + min_len - 1).tolist(), strict=True)], dtype=np.uint64)
+                owner, base = np.array([[k, p] for k, p, _ in slab], np.int64).T
+                parts.append((owner[which], s + base[which], n, a, within, v))
+            if not parts:
+                continue
             which, s, n, a, within, v = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(which):
                 continue

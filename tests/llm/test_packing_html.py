@@ -22,6 +22,20 @@ def test_ids_equal_the_tokenizer(encoder):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_long_texts_go_in_portions(encoder, monkeypatch):
+    from lantern.llm import pieces
+
+    codec = pieces.Codec.of(pieces._default_model())
+    r = random.Random(6)
+    texts = ["".join(r.choice(["abc", " de", " ", "\n", "  x", "é", "1 ", "'s", " —", "<|endoftext|>"]) for _ in range(80)) for _ in range(60)] + [" " * 50, "a" * 90]
+    for t in texts:
+        monkeypatch.setattr(packing, "PORTION", 7)
+        monkeypatch.setattr(pieces, "PORTION", 7)
+        assert "".join(packing.portions(t)) == t
+        assert np.frombuffer(encoder.batch([t])[0], "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode([t])[0][0], "<u4").tolist() == codec.other.encode(t)
+
+
 def check_packed(rows, texts, encoder, size):
     by = {}
     for r in rows:

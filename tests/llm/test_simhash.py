@@ -17,6 +17,15 @@ def plain_fingerprint(text, n):
     return sum(1 << b for b in range(64) if hashes and 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_long_texts_go_in_slabs(monkeypatch):
+    texts = ["one", "one two", " a b  c d e f g h i j k l m n o p q\n", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxx y z", "", "  ", "a b c " * 50]
+    whole = [simhash.fingerprint(t) for t in texts]
+    assert whole == [plain_fingerprint(t, 3) for t in texts]
+    for slab in (1, 2, 5, 16):
+        monkeypatch.setattr(simhash, "SLAB", slab)
+        assert [simhash.fingerprint(t) for t in texts] == whole
+
+
 def classes(pairs, nodes):
     root = {n: n for n in nodes}
 

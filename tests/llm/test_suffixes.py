@@ -89,7 +89,33 @@ def test_removal_against_plain_code(spark, kinds_max):
         assert r["kept_sha256"] == hashlib.sha256(left).hexdigest()
 
 
-def test_batches_of_the_scan(monkeypatch, spark):
+@pytest.mark.parametrize("slab", [1, 64, 1000])
+def test_documents_longer_than_a_slab(monkeypatch, slab):
+    """Steps in one process: documents cut into pieces, the rows sorted as the shuffle would."""
+    import pandas as pd
+
+    monkeypatch.setattr(suffixes, "SLAB", slab)
+    rows = [(k, t or "") for k, t in corpus(5, 14)]
+    df = pd.DataFrame([(d, 0, t) for d, t in rows], columns=["doc", "th", "text"])
+    by_anchor = pd.concat(suffixes._rows_by_anchor(100, 32)(iter([df[:6], df[6:]]))).sort_values(["a", "v", "doc", "th", "s"])
+    met = pd.concat(suffixes._meet(100, 2048)(iter([by_anchor[k : k + 50] for k in range(0, len(by_anchor), 50)])))
+    texts = {d: t.encode() for d, t in rows}
+    spans = {d: [] for d in texts}
+    for x in met[met.kind == suffixes.REPEAT].itertuples():
+        spans[x.doc].append((x.s, x.e))
+    asked = met[met.kind == suffixes.LOOKUP].sort_values(["a", "doc", "th", "s"])
+    asked = asked.assign(part=[texts[x.doc][x.s : x.e] for x in asked.itertuples()])
+    for out in suffixes._scan(100)(iter([asked])):
+        for x in out.itertuples():
+            spans[x.doc].append((x.s, x.e))
+    for d, (left, _) in plain_removal(rows, 100).items():
+        gone = bytearray(len(texts[d]))
+        for s, e in spans[d]:
+            gone[s:e] = b"\1" * (e - s)
+        assert bytes(b for b, g in zip(texts[d], gone, strict=True) if not g) == left
+
+
+def test_batches_of_the_scan(spark):
     """Documents longer than a slab and many small scan batches give the same removals."""
     rows = [(k, t) for k, t in enumerate(["xy" * 5000 + "abc" * 200, "abc" * 200 + "zz" * 10, "xy" * 5000])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
