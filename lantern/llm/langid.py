@@ -12,8 +12,8 @@ over a document's grams no mixture gains more than max(D) - N over the best sing
 language. Where that is within the penalty, the single language is the answer and no
 iteration runs.
 
-The sample: at most DOCS_PER_LANGUAGE rows of each of LANGUAGES_MAX languages, chosen by a
-hash of the id, and TRAIN_CHARS characters of each. This bounds the fit alone; the
+The sample: about DOCS_PER_LANGUAGE rows of each of LANGUAGES_MAX languages (twice that at
+most, SAMPLE_MAX of all), chosen by a hash of the id, and TRAIN_CHARS characters of each. This bounds the fit alone; the
 prediction reads every whole text.
 
 Cases: `und` with score 0 for a text that is null or has no letter, and for every text if
@@ -36,7 +36,8 @@ from lantern.llm.common import own_names, released, sealed, unsealed
 
 BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 800
-LANGUAGES_MAX = 256
+LANGUAGES_MAX = 64
+SAMPLE_MAX = 8000
 TRAIN_CHARS = 6000
 PENALTY = 2.0
 ROUNDS = 30
@@ -128,13 +129,14 @@ def train(labelled: DataFrame) -> Model:
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MAX).collect()
     if not sizes:
         return Model([])
+    each = min(DOCS_PER_LANGUAGE, SAMPLE_MAX // len(sizes))
     share = F.lit(0.0)
     for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, min(1.0, DOCS_PER_LANGUAGE / n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
     picked = rows.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select(
         F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang", "h"
     )
-    most = 2 * DOCS_PER_LANGUAGE * len(sizes)
+    most = 2 * each * len(sizes)
     return Model([(r["text"], r["lang"]) for r in picked.orderBy("h", "lang", "text").limit(most).collect()])
 
 
