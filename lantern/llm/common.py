@@ -68,19 +68,31 @@ def unsealed(column: str) -> Column:
 
 
 Batch = TypeVar("Batch")
+Result = TypeVar("Result")
 
 
-def released(run: Callable[[Iterator[Batch]], Iterator[Batch]]) -> Callable[[Iterator[Batch]], Iterator[Batch]]:
-    """run, giving back at the end of a task the memory that allocators would keep for later: a
-    worker waits for its next task beside a JVM that may need it."""
+def give_back() -> None:
+    """Hands the memory that allocators would keep for later to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[Batch]], Iterator[Result]]) -> Callable[[Iterator[Batch]], Iterator[Result]]:
+    """run, giving memory back after each batch and at the end of a task: a worker stands beside
+    others and a JVM, and then waits for its next task."""
+
+    def fed(batches: Iterator[Batch]) -> Iterator[Batch]:
+        for b in batches:
+            yield b
+            del b
+            give_back()
 
     @wraps(run)
-    def wrapped(batches: Iterator[Batch]) -> Iterator[Batch]:
-        yield from run(batches)
+    def wrapped(batches: Iterator[Batch]) -> Iterator[Result]:
+        yield from run(fed(batches))
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return wrapped

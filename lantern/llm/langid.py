@@ -150,10 +150,12 @@ def identify(df: DataFrame, model: Model) -> DataFrame:
     pred, score, count, text = own_names(df, "lang_pred", "score", "n_languages", "_text")
     told = df.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS x LANGUAGES_MAX at most
 
-    @F.pandas_udf("lang string, score double, n int")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([told.value.predict(x) for x in texts], columns=["lang", "score", "n"])
+    @released
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([told.value.predict(x) for x in texts], columns=["lang", "score", "n"])
 
+    guess = F.pandas_udf(predict, "lang string, score double, n int")
     kept = df.withColumn(text, guess(F.col("text").cast("string")))
     return kept.select(
         *(F.col(f"`{c}`") for c in df.columns), F.col(text)["lang"].alias(pred), F.col(text)["score"].alias(score), F.col(text)["n"].alias(count)
