@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import own_names, released, sealed, shuffle_width, text_or_empty, unsealed
+from lantern.llm.common import released, sealed, shuffle_width, text_or_empty, unsealed
 
 MIN = 100
 GRAM = 32
@@ -452,10 +452,13 @@ def _remove(columns: list[str]):
     return run
 
 
-def _marked(df: DataFrame, min_len: int, gram: int, kinds_max: int) -> DataFrame:
-    """doc, th, text, spans, more, rare of every row: lists of (s, e) or null."""
+def _marked(df: DataFrame, min_len: int, gram: int, kinds_max: int, rows: bool = False) -> DataFrame:
+    """doc, th, text, spans, more, rare of every row: lists of (s, e) or null; with rows, row (df's
+    own columns) in place of text."""
     width = shuffle_width(df.sparkSession)
-    docs = df.select(sealed("doc_id").alias("doc"), F.hash(text_or_empty("text").cast("string")).alias("th"), text_or_empty("text").cast("string").alias("text"))
+    text = text_or_empty("text").cast("string")
+    docs = df.select(sealed("doc_id").alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    whole = df.select(sealed("doc_id").alias("doc"), F.hash(text).alias("th"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")) if rows else docs
     by_anchor = docs.mapInPandas(_rows_by_anchor(min_len, gram), "a long, v long, doc long, th int, s int, n int, kind byte")
     met = (
         by_anchor.repartition(width, "a").sortWithinPartitions("a", "v", "doc", "th", "s")
@@ -484,7 +487,7 @@ def _marked(df: DataFrame, min_len: int, gram: int, kinds_max: int) -> DataFrame
 
     repeats = told.select("doc", "th", F.transform(of(REPEAT), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("spans"))
     return (
-        docs.join(repeats, ["doc", "th"], "left").join(lists(found, "more"), ["doc", "th"], "left")
+        whole.join(repeats, ["doc", "th"], "left").join(lists(found, "more"), ["doc", "th"], "left")
         .join(lists(rare, "rare"), ["doc", "th"], "left")
     )
 
@@ -502,23 +505,23 @@ def without_repeats(df: DataFrame, min_len: int = MIN, gram: int = GRAM, kinds_m
     A cut that leaves bytes which are not UTF-8 keeps what is whole of each character. Rows
     whose text loses nothing stay as they are, a null text included; of rows that agree in
     doc_id and text each is changed alike."""
-    key, th, new = own_names(df, "_doc", "_th", "_kept")
-    columns = ["doc", "th", "text"]
+    inner = _remove(["n_removed", "kept"])
 
     @released
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inner = _remove(["doc", "n_removed", "kept"])
-        for b in batches:
-            out = next(iter(inner(iter([b]))))
-            changed = (out["n_removed"] > 0).to_numpy()
-            yield pd.DataFrame({"doc": b["doc"][changed], "th": b["th"][changed], "text": [x.decode("utf-8", "ignore") for x in out["kept"][changed]]})[columns]
-
-    marked = _marked(df, min_len, gram, kinds_max).where("spans is not null or more is not null or rare is not null")
-    told = marked.mapInPandas(run, "doc long, th int, text string").dropDuplicates(["doc", "th"])
-    told = told.select(F.col("doc").alias(key), F.col("th").alias(th), F.col("text").alias(new))
-    keyed = df.withColumn(key, sealed("doc_id")).withColumn(th, F.hash(text_or_empty("text").cast("string")))
-    d = keyed.join(told, [key, th], "left")
-    own = {"text": F.coalesce(F.col(new), F.col("text").cast("string"))}
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            b = pd.DataFrame(dict(zip(("text", "spans", "more", "rare"), columns, strict=True)))
+            some = b["text"].notna()
+            new = pd.Series([None] * len(b), dtype=object)
+            if some.any():
+                out = next(iter(inner(iter([b[some].assign(doc=0)]))))
+                new[some.to_numpy()] = [x.decode("utf-8", "ignore") if n else None for n, x in zip(out["n_removed"], out["kept"], strict=True)]
+            yield new
+
+    marked = _marked(df, min_len, gram, kinds_max, rows=True)
+    touched = F.col("spans").isNotNull() | F.col("more").isNotNull() | F.col("rare").isNotNull()
+    d = marked.select("row", F.pandas_udf(cut, "string")(F.when(touched, text_or_empty(F.col("row.text").cast("string"))), "spans", "more", "rare").alias("new"))
+    own = {"text": F.coalesce("new", F.col("row.text").cast("string"))}
     if "n_chars" in df.columns:
-        own["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new))
-    return d.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in df.columns))
+        own["n_chars"] = F.when(F.col("new").isNull(), F.col("row.n_chars")).otherwise(F.length("new"))
+    return d.select(*(own[c].alias(c) if c in own else F.col(f"row.`{c}`").alias(c) for c in df.columns))
