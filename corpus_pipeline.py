@@ -5,7 +5,8 @@ and read again as the next stage's docs:
 
 1. language ID drops documents without a known language (null texts, texts without a letter);
 2. line dedup removes the lines that stand on five sites or more, but for their first place;
-3. SimHash near-dedup on five-word shingles leaves one document of each group;
+3. SimHash near-dedup on five-word shingles leaves one document of each group of fingerprints within
+   three bits or of texts with a Jaccard similarity of 0.8 or more;
 4. suffix-array dedup removes the later occurrences of strings of 100 bytes;
 5. best-fit packing puts what is left into sequences of 2048 tokens.
 
@@ -26,6 +27,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
+#: Jaccard similarity of shingle sets from which two texts are near copies.
+SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, SHINGLE)
+    return simhash.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
