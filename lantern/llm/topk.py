@@ -37,8 +37,8 @@ K = 5
 SCALE = 256
 CANDIDATES_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 1024
-#: Parts of each list read after each round; a query left then is resolved.
-DEPTHS = (0.25, 0.5)
+#: Parts of each list read after each round, to the end unless the stop rule holds before.
+DEPTHS = (0.25, 0.5, 0.75, 0.9, 0.97, 1.0)
 
 
 def quantised(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -91,6 +91,23 @@ class SortedLists:
         return lower, upper
 
 
+def still_open(lists: SortedLists, alive: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Of the candidates (x queries) alive, those left when reading has stopped."""
+    n = len(alive)
+    for depth in DEPTHS:
+        read = int(n * depth)
+        if read < k + 1:
+            continue
+        lower, upper = lists.bounds(q, read)
+        lower[~alive] = -(2**62)
+        if n > k:
+            bar = np.partition(lower, n - k, axis=0)[n - k]
+            alive = alive & (upper >= bar)  # outsiders that cannot qualify are dropped
+        if alive.sum() <= 4 * k * len(q):
+            break
+    return alive
+
+
 def best_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int = K) -> Iterator[tuple[int, int, int]]:
     """(query_id, vec_id, score): the k best candidates of each query within a block."""
     width = min(x.shape[1], q.shape[1])
@@ -102,18 +119,7 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarra
     n = len(ids)
     for lo in range(0, len(q), 128):
         qs, own = q[lo : lo + 128], qids[lo : lo + 128]
-        alive = ids[:, None] != own[None, :]
-        for depth in DEPTHS:
-            read = int(n * depth)
-            if read < k + 1:
-                continue
-            lower, upper = lists.bounds(qs, read)
-            lower[~alive] = -(2**62)
-            if n > k:
-                bar = np.partition(lower, n - k, axis=0)[n - k]
-                alive &= upper >= bar  # outsiders that cannot qualify are dropped
-            if alive.sum() <= 4 * k * len(qs):
-                break
+        alive = still_open(lists, ids[:, None] != own[None, :], qs, k)
         share = alive.mean()
         scores = lists.x @ qs.T if share > 0.05 else None
         for j in range(len(qs)):
