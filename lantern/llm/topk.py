@@ -2,26 +2,30 @@
 
 Every block of candidates keeps one list per dimension, sorted by value. For a query the
 lists are read sequentially, each from the end that its weight favours, to equal depth
-in rounds. What has been read of a candidate sums to its known part. The unread rest of
-dimension d lies between the value last read and the far end of the list, which gives
-each candidate a lower and an upper bound. Reading stops for a query when no outsider's
-upper bound reaches the k-th best lower bound; the exact scores of those left are then
-resolved from their remaining components. A block of queries is read together: the known
-parts and bounds of all its pairs are matrix products over the parts of the lists that
-have been read.
-
-Layout: candidates and queries are dealt into blocks of bounded size by a hash; a block
-pair is one row of an equi-join on the pair's number. A pair returns k rows per query;
-the final ranking is a window over those.
-
-Scores are exact integers: double-precision products where dims * |q| * |x| < 2**53, else
+in rounds (DEPTHS). An entry that is read adds to what is known of its candidate's score;
+this is the state, and nothing is read twice. The unread rest of a dimension lies between
+the value last read and the far end of the list, which gives each candidate a lower and an
+upper bound. After each round candidates whose upper bound is under the k-th best lower
+bound are dropped. Reading for a block of queries stops when no more than FEW times k
+candidates a query are left; what is then missing of their scores comes from the remaining
+parts of the lists, read on in order for the candidates left alone.
+
+On 64 dimensions without structure the bounds prune late: see the README for how deep the
+lists are read. Nothing else answers in their place.
+
+Layout: candidates are dealt into blocks of bounded size by a hash and are shuffled once;
+blocks of queries travel to each of them and are read against its lists one by one. A block
+returns k rows per query; the final ranking is a window over those.
+
+Scores are exact integers: double-precision sums where dims * |q| * |x| < 2**53, else
 64-bit integers (results beyond 64 bits are not defined).
 
 Cases: vectors that are null, or hold a null or a non-finite component, take no part; nor
 does a null vec_id. Repeated rows count once; rows of one vec_id with different vectors are
-different candidates, none of its own id, and as queries are ranked together. Vectors of different lengths
-are compared on the components that both have. A query without candidates has no rows. An
-empty table gives an empty result. Extra columns are ignored.
+different candidates, none of its own id, and as queries are ranked together. Ties of score go
+to the smaller vec_id. Vectors of different lengths are compared on the components that both
+have. A query without candidates has no rows. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +39,14 @@ from pyspark.sql import functions as F
 
 K = 5
 SCALE = 256
-CANDIDATES_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 1024
+CANDIDATES_PER_BLOCK = 4096
+QUERIES_PER_BLOCK = 512
+#: Queries that are read together; their known parts are one matrix.
+TOGETHER = 64
 #: Parts of each list read after each round, to the end unless the stop rule holds before.
-DEPTHS = (0.25, 0.5, 0.75, 0.9, 0.97, 1.0)
+DEPTHS = (0.25, 0.5, 0.7, 0.8, 0.88, 0.94, 0.97, 0.99, 1.0)
+#: Candidates left a query, in multiples of k, at which reading stops.
+FEW = 8
 
 
 def quantised(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -46,14 +54,15 @@ def quantised(df: DataFrame, scale: int = SCALE) -> DataFrame:
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), x).where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-    return rows.select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v")).distinct()
+    return rows.select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
 
 
 def _blocks(rows: DataFrame, number: int, name: str) -> DataFrame:
-    """One row per block: the ids and vectors of the rows that a hash deals to it."""
+    """One row per block: the distinct ids and vectors of the rows that a hash deals to it. Equal rows
+    come to one block and are combined before the shuffle."""
     return (
         rows.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(number)).cast("int").alias(name))
-        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias(f"{name}_rows"))
+        .agg(F.sort_array(F.collect_set(F.struct("vec_id", "v"))).alias("rows"))
     )
 
 
@@ -68,98 +77,151 @@ def _matrix(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SortedLists:
-    """The lists of one block of candidates, in both directions."""
+    """The lists of one block of candidates: who stands where and with what value, by dimension."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.size, self.dims = x.shape
         order = np.argsort(x, axis=0, kind="stable")
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(len(x))[:, None], axis=0)
-        self.sorted = np.take_along_axis(x, order, axis=0)
-
-    def bounds(self, q: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (candidates x queries) after reading so many entries of each list."""
-        n = len(self.x)
-        falling, rising = self.rank >= n - read, self.rank < read
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        top, bottom = self.sorted[n - read], self.sorted[read - 1]  # last read from either end
-        low, high = self.sorted[0], self.sorted[-1]
-        known = np.where(falling, self.x, 0) @ plus.T + np.where(rising, self.x, 0) @ minus.T
-        open_plus, open_minus = (~falling).astype(q.dtype), (~rising).astype(q.dtype)
-        upper = known + open_plus @ (plus * top).T + open_minus @ (minus * bottom).T
-        lower = known + open_plus @ (plus * low).T + open_minus @ (minus * high).T
+        self.values = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T)  # a row per dimension
+        self.who = np.ascontiguousarray(order.T)
+        self.rank = np.empty((self.size, self.dims), np.int32)
+        np.put_along_axis(self.rank, order, np.arange(self.size, dtype=np.int32)[:, None], axis=0)
+        self.largest = int(np.abs(x).max(initial=0))
+
+
+class Reading:
+    """A few queries on their way through the lists of one block."""
+
+    def __init__(self, lists: SortedLists, q: np.ndarray, alive: np.ndarray):
+        self.lists, self.alive = lists, alive
+        # From the top for weights over zero, from the bottom for those under it.
+        self.plus, self.minus = np.maximum(q, 0).T, np.minimum(q, 0).T
+        self.known = np.zeros((lists.size, len(q)), q.dtype)
+        self.read = 0
+
+    def on(self, to: int, some: np.ndarray | None = None) -> None:
+        """Reads every list on to this depth; some: of these candidates alone."""
+        lists, n = self.lists, self.lists.size
+        for d in range(lists.dims):
+            for lo, hi, weight in ((n - to, n - self.read, self.plus[d]), (self.read, to, self.minus[d])):
+                if not weight.any():
+                    continue
+                who, values = lists.who[d, lo:hi], lists.values[d, lo:hi]
+                if some is not None:
+                    kept = some[who]
+                    who, values = who[kept], values[kept]
+                self.known[who] += values[:, None] * weight
+        self.read = to
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (candidates x queries): what is known, and the rest of each list at its
+        far end or at the value last read."""
+        lists, n, read = self.lists, self.lists.size, self.read
+        top, bottom = lists.values[:, n - read, None], lists.values[:, read - 1, None]
+        low, high = lists.values[:, 0, None], lists.values[:, -1, None]
+        kind = self.known.dtype
+        open_top, open_bottom = (lists.rank < n - read).astype(kind), (lists.rank >= read).astype(kind)
+        upper = self.known + open_top @ (self.plus * top) + open_bottom @ (self.minus * bottom)
+        lower = self.known + open_top @ (self.plus * low) + open_bottom @ (self.minus * high)
         return lower, upper
 
-
-def still_open(lists: SortedLists, alive: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Of the candidates (x queries) alive, those left when reading has stopped."""
-    n = len(alive)
-    for depth in DEPTHS:
-        read = int(n * depth)
-        if read < k + 1:
-            continue
-        lower, upper = lists.bounds(q, read)
-        lower[~alive] = -(2**62)
+    def prune(self, k: int) -> None:
+        """Drops the candidates that cannot be among the k best any more."""
+        lower, upper = self.bounds()
+        lower[~self.alive] = -(2**62)
+        n = len(lower)
         if n > k:
             bar = np.partition(lower, n - k, axis=0)[n - k]
-            alive = alive & (upper >= bar)  # outsiders that cannot qualify are dropped
-        if alive.sum() <= 4 * k * len(q):
-            break
-    return alive
-
-
-def best_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int = K) -> Iterator[tuple[int, int, int]]:
-    """(query_id, vec_id, score): the k best candidates of each query within a block."""
-    width = min(x.shape[1], q.shape[1])
-    x, q = x[:, :width], q[:, :width]
-    exact = width * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53
-    kind = np.float64 if exact else np.int64
-    lists = SortedLists(x.astype(kind))
-    q = q.astype(kind)
-    n = len(ids)
-    for lo in range(0, len(q), 128):
-        qs, own = q[lo : lo + 128], qids[lo : lo + 128]
-        alive = still_open(lists, ids[:, None] != own[None, :], qs, k)
-        share = alive.mean()
-        scores = lists.x @ qs.T if share > 0.05 else None
-        for j in range(len(qs)):
-            left = np.nonzero(alive[:, j])[0]
-            s = scores[left, j] if scores is not None else lists.x[left] @ qs[j]
+            self.alive &= upper >= bar
+
+    def run(self, k: int) -> float:
+        """Reads until few candidates are left, then the rest for those; returns the depth of the stop."""
+        n = self.lists.size
+        for depth in DEPTHS:
+            to = int(n * depth)
+            if to > self.read:
+                self.on(to)
+            if self.read == n:
+                return 1.0
+            if self.read > k:
+                self.prune(k)
+                if self.alive.sum() <= FEW * k * self.alive.shape[1]:
+                    break
+        stopped = self.read / n
+        self.on(n, self.alive.any(axis=1))
+        return stopped
+
+
+def best_of_block(ids: np.ndarray, lists: SortedLists, qids: np.ndarray, q: np.ndarray, k: int = K) -> Iterator[tuple[int, int, int, float]]:
+    """(query_id, vec_id, score, depth read) of the k best candidates of each query within a block."""
+    for lo in range(0, len(q), TOGETHER):
+        own = qids[lo : lo + TOGETHER]
+        reading = Reading(lists, q[lo : lo + TOGETHER], ids[:, None] != own[None, :])
+        depth = reading.run(k)
+        for j in range(len(own)):
+            left = np.nonzero(reading.alive[:, j])[0]
+            s = reading.known[left, j]
             if len(left) > k:
                 bar = np.partition(s, len(s) - k)[len(s) - k]
                 left, s = left[s >= bar], s[s >= bar]
-            best = np.lexsort((ids[left], -s))[:k]
-            for c in best.tolist():
-                yield int(own[j]), int(ids[left[c]]), int(s[c])
+            for c in np.lexsort((ids[left], -s))[:k].tolist():
+                yield int(own[j]), int(ids[left[c]]), int(s[c]), depth
+
 
+def _answer(k: int):
+    """Rows (c, b, rows) sorted by c and b: a block of candidates (b = -1), then blocks of queries."""
 
-def _pairs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for b in batches:
             for i in range(b.num_rows):
-                rows = list(best_of_block(*_matrix(b.column(0)[i]), *_matrix(b.column(1)[i]), k))
-                columns = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                ids, x = _matrix(b.column(2)[i])
+                if b.column(1)[i].as_py() < 0:
+                    block = (b.column(0)[i].as_py(), ids, x, {})
+                    continue
+                if block is None or block[0] != b.column(0)[i].as_py():
+                    continue  # a hash that no candidate has
+                width = min(block[2].shape[1], x.shape[1])
+                x = x[:, :width]
+                exact = width * float(np.abs(block[2]).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**53
+                kind = np.float64 if exact else np.int64
+                if (width, kind) not in block[3]:
+                    block[3][width, kind] = SortedLists(block[2][:, :width].astype(kind))
+                rows = list(best_of_block(block[1], block[3][width, kind], ids, x.astype(kind), k))
+                columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+                arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score", "depth"])
 
     return run
 
 
+def found_in_blocks(rows: DataFrame, is_query: Column, k: int, per_block: int, queries_per_block: int) -> DataFrame:
+    """query_id, vec_id, score, depth: the k best of each block of candidates for each query."""
+    n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    nc, nq = max(1, -(-n // per_block)), max(1, -(-m // queries_per_block))
+    cands = _blocks(rows, nc, "c").select("c", F.lit(-1).alias("b"), "rows")
+    queries = _blocks(rows.where(is_query), nq, "b").select(F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("c"), "b", "rows")
+    width = min(nc, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    both = cands.unionByName(queries).repartition(width, "c").sortWithinPartitions("c", "b")
+    return both.mapInArrow(_answer(k), "query_id long, vec_id long, score long, depth double")
+
+
 def top_k(
     rows: DataFrame, is_query: Column, k: int = K, per_block: int = CANDIDATES_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK
 ) -> DataFrame:
     """query_id, rank, vec_id, score over quantised rows (vec_id, v)."""
-    n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    nc, nq = max(1, -(-n // per_block)), max(1, -(-m // queries_per_block))
-    grid = nc * nq
-    cands = _blocks(rows, nc, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("pair", F.col("c") * nq + F.col("q"))
-    queries = _blocks(rows.where(is_query), nq, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("pair", F.col("c") * nq + F.col("q"))
-    width = min(grid, 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    pairs = cands.select("pair", "c_rows").repartition(width, "pair").join(queries.select("pair", "q_rows").repartition(width, "pair"), "pair")
-    found = pairs.select("c_rows", "q_rows").mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
+    found = found_in_blocks(rows, is_query, k, per_block, queries_per_block).select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def depths(df: DataFrame, every: int = 50, k: int = K) -> DataFrame:
+    """query_id, depth: the greatest part of any block's lists that was read before reading stopped."""
+    rows = quantised(df)
+    found = found_in_blocks(rows, F.col("vec_id") % every == 0, k, CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK)
+    return found.groupBy("query_id").agg(F.max("depth").alias("depth"))
+
+
 def search(df: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """The k best of all rows for each row whose vec_id is divisible by every."""
     return top_k(quantised(df), F.col("vec_id") % every == 0, k)

@@ -32,20 +32,54 @@ def test_against_plain_code(spark):
     assert topk.search(one).count() == 0
 
 
-def test_bounds_hold_and_prune():
-    r = np.random.default_rng(3)
+def vectors(seed=3):
+    r = np.random.default_rng(seed)
     x = np.rint(r.normal(0, 50, (3000, 6)) * (1 + 20 * (r.random((3000, 1)) < 0.01)))
-    q = np.rint(r.normal(0, 50, (40, 6)))
-    lists = topk.SortedLists(x)
-    true = x @ q.T
+    return x, np.rint(r.normal(0, 50, (40, 6)))
+
+
+def test_bounds_hold_and_prune():
+    x, q = vectors()
+    lists, true = topk.SortedLists(x), x @ q.T
+    reading = topk.Reading(lists, q, np.ones((3000, 40), bool))
     for read in (1, 30, 700, 3000):
-        lower, upper = lists.bounds(q, read)
-        assert (lower <= true).all() and (true <= upper).all()
-    lower, upper = lists.bounds(q, 750)
-    bar = np.partition(lower, -5, axis=0)[-5]
-    assert (upper >= bar).mean() < 0.2  # most outsiders are dropped unread to the end
+        reading.on(read)
+        if read < 3000:
+            lower, upper = reading.bounds()
+            assert (lower <= true).all() and (true <= upper).all()
+    assert (reading.known == true).all()
+    reading = topk.Reading(lists, q, np.ones((3000, 40), bool))
+    reading.on(750)
+    reading.prune(5)
+    assert reading.alive.mean() < 0.2  # most outsiders are dropped unread to the end
     got = {}
-    for i, c, s in topk.best_of_block(np.arange(3000), x.astype(np.int64), np.arange(5000, 5040), q.astype(np.int64)):
+    for i, c, s, depth in topk.best_of_block(np.arange(3000), lists, np.arange(5000, 5040), q):
         got.setdefault(i - 5000, []).append((s, c))
+        assert depth < 1
     for j in range(40):
         assert got[j] == [(int(true[c, j]), int(c)) for c in np.lexsort((np.arange(3000), -true[:, j]))[:5]]
+
+
+def test_every_entry_is_read_once_and_in_order(monkeypatch):
+    """Scores come from the lists alone: what is read of each goes up without a gap, and after the
+    stop only for the candidates left."""
+    x, q = vectors()
+    read = []
+    on = topk.Reading.on
+
+    def noted(self, to, some=None):
+        read.append((self.read, to, len(self.lists.who[0]) if some is None else int(some.sum())))
+        on(self, to, some)
+
+    monkeypatch.setattr(topk.Reading, "on", noted)
+    lists = topk.SortedLists(x)
+    assert not hasattr(lists, "x")  # no vector is held beside the lists
+    list(topk.best_of_block(np.arange(3000), lists, np.arange(5000, 5010), q[:10]))
+    assert read[0][0] == 0 and read[-1][1] == 3000 and all(a[1] == b[0] for a, b in zip(read, read[1:], strict=False))
+    assert read[-1][2] < 600 and all(n == 3000 for *_, n in read[:-1])
+
+
+def test_depths(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    found = topk.depths(rows).collect()
+    assert len(found) == rows.where("vec_id % 50 = 0").count() and all(0 < r["depth"] <= 1 for r in found)
