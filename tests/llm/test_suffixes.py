@@ -23,12 +23,13 @@ def plain_repeats(texts, min_len):
     return sorted(out)
 
 
-def test_maximal_repeats_against_all_substrings():
+def test_maximal_repeats_against_all_substrings(monkeypatch):
     r = random.Random(1)
     for _ in range(60):
-        letters = r.choice([b"ab", b"abcd", b"a"])
+        letters = r.choice([b"ab", b"abcd", b"a", b"a\0"])
         texts = [bytes(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 5))]
         n = r.choice([3, 5, 8])
+        monkeypatch.setattr(suffixes, "ROUNDS", r.choice([0, 1, 2, 64]))
         assert sorted(suffixes.maximal_repeats(texts, n)) == plain_repeats(texts, n)
 
 
@@ -75,12 +76,7 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("kinds_max", [suffixes.KINDS_MAX, 2])
-def test_removal_against_plain_code(spark, kinds_max):
-    rows = corpus(3)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    want = plain_removal(rows, 100)
-    got = suffixes.remove_repeats(df, kinds_max=kinds_max).collect()
+def check_rows(got, rows, want):
     assert len(got) == len(rows)
     for r in got:
         left, gone = want[r["doc_id"]]
@@ -89,30 +85,79 @@ def test_removal_against_plain_code(spark, kinds_max):
         assert r["kept_sha256"] == hashlib.sha256(left).hexdigest()
 
 
-@pytest.mark.parametrize("slab", [1, 64, 1000])
-def test_documents_longer_than_a_slab(monkeypatch, slab):
-    """Steps in one process: documents cut into pieces, the rows sorted as the shuffle would."""
+@pytest.mark.parametrize(("open_max", "anchor_bytes"), [(suffixes.OPEN_MAX, suffixes.ANCHOR_BYTES), (3, suffixes.ANCHOR_BYTES), (suffixes.OPEN_MAX, 150), (2, 1)])
+def test_removal_against_plain_code(spark, open_max, anchor_bytes):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_rows(suffixes.remove_repeats(df, open_max=open_max, anchor_bytes=anchor_bytes).collect(), rows, plain_removal(rows, 100))
+
+
+def steps(rows, batch, open_max=suffixes.OPEN_MAX, anchor_bytes=suffixes.ANCHOR_BYTES):
+    """The steps in one process, the rows sorted as the shuffles would -> what goes of each (doc, t1, t2)."""
     import pandas as pd
 
-    monkeypatch.setattr(suffixes, "SLAB", slab)
-    rows = [(k, t or "") for k, t in corpus(5, 14)]
-    df = pd.DataFrame([(d, 0, t) for d, t in rows], columns=["doc", "th", "text"])
-    by_anchor = pd.concat(suffixes._rows_by_anchor(100, 32)(iter([df[:6], df[6:]]))).sort_values(["a", "v", "doc", "th", "s"])
-    met = pd.concat(suffixes._meet(100, 2048)(iter([by_anchor[k : k + 50] for k in range(0, len(by_anchor), 50)])))
-    texts = {d: t.encode() for d, t in rows}
-    spans = {d: [] for d in texts}
+    def cut(df, n):
+        return iter([df[k : k + n].reset_index(drop=True) for k in range(0, len(df), n)])
+
+    document = suffixes.DOCUMENT
+    df = pd.DataFrame([(d, t1, t2, t or "") for d, t1, t2, t in rows], columns=[*document, "text"])
+    by_anchor = pd.concat(suffixes._rows_by_anchor(100, 32)(cut(df, 6))).sort_values(["a", "v", *document, "at"])
+    met = pd.concat(suffixes._meet(100, open_max, anchor_bytes)(cut(by_anchor, batch)))
+    gone = {(d, t1, t2): bytearray(len((t or "").encode())) for d, t1, t2, t in rows}
     for x in met[met.kind == suffixes.REPEAT].itertuples():
-        spans[x.doc].append((x.s, x.e))
-    asked = met[met.kind == suffixes.LOOKUP].sort_values(["a", "doc", "th", "s"])
-    asked = asked.assign(part=[texts[x.doc][x.s : x.e] for x in asked.itertuples()])
-    for out in suffixes._scan(100)(iter([asked])):
-        for x in out.itertuples():
-            spans[x.doc].append((x.s, x.e))
-    for d, (left, _) in plain_removal(rows, 100).items():
-        gone = bytearray(len(texts[d]))
-        for s, e in spans[d]:
-            gone[s:e] = b"\1" * (e - s)
-        assert bytes(b for b, g in zip(texts[d], gone, strict=True) if not g) == left
+        gone[x.doc, x.t1, x.t2][x.s : x.e] = b"\1" * (x.e - x.s)
+    told = met[met.kind != suffixes.REPEAT]
+    asked = {k: g[["kind", "a", "s", "e", "others"]].to_dict("records") for k, g in told.groupby(document)}
+    docs = df[[k in asked for k in df[document].itertuples(index=False, name=None)]]
+    docs = docs.assign(asked=[asked[k] for k in docs[document].itertuples(index=False, name=None)])
+    if len(docs):
+        segments = pd.concat(suffixes._cut(100)(cut(docs, 4))).sort_values(["a", *document, "s"])
+        for out in suffixes._scan(100)(cut(segments, batch)):
+            for x in out.itertuples():
+                gone[x.doc, x.t1, x.t2][x.s : x.e] = b"\1" * (x.e - x.s)
+    return gone, met
+
+
+@pytest.mark.parametrize("slab", [1, 64, 1000])
+@pytest.mark.parametrize("batch", [7, 50])
+def test_documents_longer_than_a_slab(monkeypatch, slab, batch):
+    monkeypatch.setattr(suffixes, "SLAB", slab)
+    monkeypatch.setattr(suffixes, "PIECE", slab)
+    monkeypatch.setattr(suffixes, "BATCH", 500)
+    rows = [(k, t) for k, t in corpus(5, 14)]
+    want = plain_removal(rows, 100)
+    for limits in ((16384, 1 << 20), (5, 1 << 20), (16384, 300)):
+        gone, _ = steps([(d, 0, 0, t) for d, t in rows], batch, *limits)
+        assert gone == {(d, 0, 0): g for d, (_, g) in want.items()}
+
+
+def test_one_hot_anchor():
+    """A passage in every document, behind a word of each document's own: one anchor, as many kinds of run."""
+    r = random.Random(4)
+    passage = "the same words stand here in every text of the table, "
+    rows = [(k, f"{r.random()} " + passage + "".join(r.choice("pqrs") for _ in range(6)) + passage[::-1] + str(k)) for k in range(150)]
+    want = plain_removal(rows, 100)
+    for limits in ((16384, 1 << 20), (16384, 4000), (40, 1 << 20)):
+        gone, met = steps([(d, 0, 0, t) for d, t in rows], 64, *limits)
+        assert gone == {(d, 0, 0): g for d, (_, g) in want.items()}
+        assert (met.kind == suffixes.STRINGS).any() == (limits != (16384, 1 << 20))
+
+
+def test_documents_that_share_an_id():
+    """One doc_id, and even one half of the hash: texts that differ are different documents."""
+    text = "".join(random.Random(2).choices("abcdefgh ", k=400))
+    rows = [(7, 1, 5, text), (7, 1, 3, text + "!"), (7, 1, 5, text), (8, 1, 3, text)]
+    gone, _ = steps(rows, 50)
+    assert {k: sum(g) for k, g in gone.items()} == {(7, 1, 3): 0, (7, 1, 5): 400, (8, 1, 3): 400}
+
+
+def test_every_removed_byte_comes_from_a_group(monkeypatch):
+    """Without the interval tree's groups nothing is removed but what a segment's own places say."""
+    rows = [(d, 0, 0, t) for d, t in corpus(3)]
+    full, _ = steps(rows, 50)
+    monkeypatch.setattr(suffixes, "later_spans", lambda *a, **k: suffixes._joined(a[1][:0], a[1]["s"][:0]))
+    none, _ = steps(rows, 50)
+    assert sum(map(sum, full.values())) > 0 and sum(map(sum, none.values())) == 0
 
 
 def test_batches_of_the_scan(spark):
