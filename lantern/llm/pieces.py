@@ -3,24 +3,27 @@
 The model protobuf is read field by field. Out of it come the normaliser (the character
 map, white-space rules and dummy prefix), the metaspace marker, the vocabulary with its
 scores (Viterbi over piece scores for a unigram model, merges ranked by score for a BPE
-model) and byte fallback, put together as a Tokenizers pipeline.
+model) and byte fallback, put together as a Tokenizers pipeline. Its ids are the result, and
+its decoder turns them back into text; both run in batches over THREADS threads.
 
 If no piece has a marker behind another character, no piece crosses from one word to the
-next, and a text is encoded word by word: new words go to the library in multithreaded
-batches and are remembered (MEMO of them at most; a full memo is emptied, and each task
-starts with an empty one). Each new word is
-also encoded by the sentencepiece library; where the two differ, the latter's ids count and
-parity is false for the texts that hold the word. Other models are encoded and compared
-text by text.
-
-Cases: a null text is encoded as empty. Control strings in a text are ordinary text. A text
-that holds the marker itself comes back with spaces in its place and counts as a round trip
-to its normalised form. Repeated rows give repeated results; an empty table gives an empty
-result; extra columns are ignored.
+next, and a text is encoded word by word: new words go to the pipeline in batches and are
+remembered (MEMO of them at most; a full memo is emptied, and each task starts with an empty
+one). Each new word is also encoded by the sentencepiece library, which only checks: parity
+is false for a text that holds a word on which the two differ. Other models are encoded and
+compared text by text.
+
+Cases: a null text is encoded as empty; a null doc_id stays null. A very long text goes in
+portions that begin at a space before a letter, where a word begins. Control strings in a
+text are ordinary text. A text that holds the marker itself comes back with spaces in its
+place and counts as a round trip to its normalised form. There are no ties: a row's result
+depends on its text alone, so repeated rows give repeated results. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -38,6 +41,8 @@ from lantern.llm.packing import PORTION, portions
 
 MARK = "▁"
 MEMO = 400_000
+#: Threads of the tokenizer in a worker, unless RAYON_NUM_THREADS says otherwise.
+THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -146,6 +151,9 @@ class Codec:
     _made: dict[str, Codec] = {}
 
     def __init__(self, data: bytes):
+        # Read by the library when it first runs a batch in this process.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
 
         self.model = Model(data)
@@ -153,14 +161,12 @@ class Codec:
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.memo: dict[str, bytes] = {}
         self.wrong: set[str] = set()
-        names = [p for p, *_ in self.model.pieces]
+        pieces = self.model.pieces
+        names = [p for p, *_ in pieces]
         self.opens = np.array([p.startswith(MARK) for p in names])
+        self.spaced = self.opens | np.array([t == BYTE and p == "<0x20>" for p, _, t in pieces])
+        self.control = np.array([t == CONTROL for *_, t in pieces])
         self.mark = np.array([names.index(MARK) if MARK in names else self.model.unknown], "<u4").tobytes()
-        byte = [bytes([int(p[3:5], 16)]) if t == BYTE else None for p, _, t in self.model.pieces]
-        self.raw = [
-            b if b is not None else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
-            for b, (p, _, t) in zip(byte, self.model.pieces, strict=True)
-        ]
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -170,10 +176,10 @@ class Codec:
         return cls._made[path]
 
     def _both(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids and parity of texts as they are, by the two libraries."""
+        """Ids of texts as they are, and whether the other library has the same."""
         mine = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        theirs = self.other.encode(texts, num_threads=1) if texts else []
-        return [(np.array(b, "<u4").tobytes(), a.ids == b) for a, b in zip(mine, theirs, strict=True)]
+        theirs = self.other.encode(texts, num_threads=THREADS) if texts else []
+        return [(np.array(a.ids, "<u4").tobytes(), a.ids == b) for a, b in zip(mine, theirs, strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         if not self.model.by_word:
@@ -196,35 +202,56 @@ class Codec:
         self.memo[""] = b""
         return [(b"".join(itemgetter(*w, "")(self.memo)), not self.wrong or self.wrong.isdisjoint(w)) for w in words]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words, by both libraries. Words with one marker in front go many at a time:
-        a piece that starts with a marker begins the next word."""
-        alone = [w for w in new if len(w) == 1 or w[1] == MARK]
-        for w, (ids, same) in zip(alone, self._both([w[1:].replace(MARK, " ") for w in alone]), strict=True):
+    def _alone(self, words: list[str]) -> None:
+        for w, (ids, same) in zip(words, self._both([w[1:].replace(MARK, " ") for w in words]), strict=True):
             # A marker alone is the empty text to either library; it is the marker's own piece here.
             self.memo[w] = ids if w != MARK else self.mark
             if not same:
                 self.wrong.add(w)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words. Words with one marker in front go many at a time: a piece that starts with a
+        marker begins the next word."""
+        self._alone([w for w in new if len(w) == 1 or w[1] == MARK])
         others = [w for w in new if len(w) > 1 and w[1] != MARK]
-        parts = [others[k : k + 2000] for k in range(0, len(others), 2000)]
+        parts = [others[k : k + 500] for k in range(0, len(others), 500)]
         texts = [" ".join(w[1:] for w in p) for p in parts]
-        for part, text, mine in zip(parts, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            first, second = np.array(mine.ids, "<u4"), np.array(self.other.encode(text), "<u4")
-            theirs = self._cut(second)
-            self.memo.update(zip(part, theirs, strict=True))
-            if not np.array_equal(first, second):
-                self.wrong.update(w for w, a, b in zip(part, self._cut(first), theirs, strict=False) if a != b)
+        theirs = self.other.encode(texts, num_threads=THREADS) if texts else []
+        for part, mine, check in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), theirs, strict=True):
+            ids = self._cut(np.array(mine.ids, "<u4"))
+            if len(ids) != len(part):  # a word that does not begin with a marker's piece
+                self._alone(part)
+                continue
+            self.memo.update(zip(part, ids, strict=True))
+            if mine.ids != check:
+                cut = self._cut(np.array(check, "<u4"))
+                if len(cut) != len(part):
+                    self._alone(part)
+                else:
+                    self.wrong.update(w for w, a, b in zip(part, ids, cut, strict=True) if a != b)
 
     def _cut(self, ids: np.ndarray) -> list[bytes]:
         data = ids.tobytes()
         at = [*np.nonzero(self.opens[ids])[0].tolist(), len(ids)]
         return [data[4 * lo : 4 * hi] for lo, hi in zip(at, at[1:], strict=False)]
 
-    def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        if self.model.dummy_prefix and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """Texts of ids: the pipeline's decoder over the runs between unknown pieces. Control pieces have no text."""
+        runs: list[list[int]] = []
+        spaces: list[str] = []
+        counts = []
+        for data in ids:
+            x = np.frombuffer(data, "<u4")
+            x = x[~self.control[x]]
+            parts = np.split(x, np.nonzero(x == self.model.unknown)[0]) if (x == self.model.unknown).any() else [x]
+            for k, p in enumerate(parts):
+                p = p[1:] if k else p
+                runs.append(p.tolist())
+                # The decoder takes a space off the front of what it is given: right for a text's alone.
+                spaces.append(" " if len(p) and self.spaced[p[0]] and (k or not self.model.dummy_prefix) else "")
+            counts.append(len(parts))
+        done = iter([s + t for s, t in zip(spaces, self.tokenizer.decode_batch(runs, skip_special_tokens=False), strict=True)])
+        return [" ⁇ ".join(next(done) for _ in range(n)) for n in counts]
 
 
 def _default_model() -> str:
@@ -246,7 +273,7 @@ def encode(df: DataFrame, model: str | None = None, keep_ids: bool = False) -> D
                 done = codec.encode(texts)
                 out = {
                     "doc_id": b["doc_id"].to_numpy()[lo : lo + 512], "n_ids": [len(i) // 4 for i, _ in done], "ids_crc32": [zlib.crc32(i) for i, _ in done],
-                    "parity": [same for _, same in done], "round_trip": [codec.decode(i) == x.replace(MARK, " ") for (i, _), x in zip(done, texts, strict=True)],
+                    "parity": [same for _, same in done], "round_trip": [t == x.replace(MARK, " ") for t, x in zip(codec.decode([i for i, _ in done]), texts, strict=True)],
                 }
                 if keep_ids:
                     out["ids"] = [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in done]
@@ -266,8 +293,10 @@ def decode(df: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.of(path)
         for b in batches:
-            text = [codec.decode(np.asarray(x if x is not None else [], "<u4").tobytes()) for x in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": text})
+            for lo in range(0, len(b), 512):
+                part = b.iloc[lo : lo + 512]
+                text = codec.decode([np.asarray(x if x is not None else [], "<u4").tobytes() for x in part["ids"]])
+                yield pd.DataFrame({"doc_id": part["doc_id"], "text": text})
 
     out = df.select(sealed("doc_id").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInPandas(run, "doc_id long, text string")
     return out.withColumn("doc_id", unsealed("doc_id"))
