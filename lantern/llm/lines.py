@@ -2,16 +2,20 @@
 
 A line that stands on MIN_SITES sites or more (source is the site) is boilerplate: its first
 occurrence, by doc_id and line number, stays and all others go. Lines are known by 128 bits
-of hash. Lines of one site cannot qualify; a grouped minimum and maximum of the site finds
-the others. Those are sketched: one HyperLogLog of sites per line, merged by aggregation.
-A line whose estimate is within BAND of the threshold is counted exactly; the sketch decides
-all others. A hot line is combined before each shuffle, and the joins on the line are left
-to adaptive skew handling.
+of hash. One HyperLogLog sketch of sites per line is built before the shuffle and merged
+behind it, so that a line travels as one sketch per task, on however many sites it stands; no
+table of lines and sites is made. A line whose estimate is under MIN_SITES by more than
+BAND stays. The occurrences of the others are looked up. A line whose estimate is over
+MIN_SITES by more than BAND is boilerplate; lines within BAND, and these alone, are
+counted exactly, from their occurrences. A hot line is combined before each grouped shuffle,
+and the joins on the line are left to adaptive skew handling.
 
 Cases: lines without a word are never boilerplate and stay. Lines are compared without the
-white space around them. A null text stays null and has no lines. A null source is a site
-of its own. Rows that agree in doc_id and text are one document. A null doc_id comes first.
-Extra columns are kept. An empty table gives an empty result.
+white space around them. A null text stays null and has no lines; an empty text has one
+empty line. A very long text or line is taken whole. A null source is a site of its own. Rows
+that agree in doc_id and text are one document. A null doc_id comes first; of a line's
+occurrences with one doc_id and line number, the first by a hash of the text. Extra columns
+are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import SPACES, own_names, sealed
+from lantern.llm.common import SPACES, checkpoint, own_names, sealed
 
 MIN_SITES = 5
 LG_REGISTERS = 12
@@ -36,23 +40,24 @@ def _lines(df: DataFrame) -> DataFrame:
     return rows.where("line <> ''").select("doc", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "site")
 
 
+def sketches(lines: DataFrame) -> DataFrame:
+    """h1, h2, first (place), sites (estimated) of every line."""
+    site = F.xxhash64("site")  # a sketch passes over an empty string
+    return lines.groupBy("h1", "h2").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg(site, F.lit(LG_REGISTERS))).alias("sites"), F.min(F.struct("doc", "th", "pos")).alias("first")
+    )
+
+
 def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """(doc, th, pos) of every line to remove."""
     lines = _lines(df)
-    place = F.struct("doc", "th", "pos")
-    # One row per line and site, combined before the shuffle: a line of all documents is a few rows.
-    sites = lines.groupBy("h1", "h2", "site").agg(F.min(place).alias("place"))
-    spread = sites.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("place").alias("first")).where("a < b")
-    several = sites.join(spread.select("h1", "h2", "first"), ["h1", "h2"])
-    sketched = several.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("sites"), F.min("first").alias("first")
-    )
-    sure = sketched.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2", "first")
-    near = sketched.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("h1", "h2", "first")
-    counted = sites.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"), F.min("first").alias("first"))
-    chosen = sure.unionByName(counted.where(F.col("sites") >= min_sites).select("h1", "h2", "first"))
-    # Nothing above this join needs a line's rows together, so a hot line's can be split.
-    return lines.join(chosen, ["h1", "h2"]).where(place != F.col("first")).select("doc", "th", "pos")
+    wide = sketches(lines).where(F.col("sites") >= min_sites * (1 - band))
+    # Occurrences of lines on several sites alone; both branches below read them.
+    places = checkpoint(lines.join(wide, ["h1", "h2"]).withColumn("near", F.col("sites") <= min_sites * (1 + band)))
+    near = places.where("near")
+    counted = near.groupBy("h1", "h2").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites)
+    chosen = places.where("not near").unionByName(near.join(counted.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    return chosen.where(F.struct("doc", "th", "pos") != F.col("first")).select("doc", "th", "pos")
 
 
 def marked(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> tuple[DataFrame, str]:

@@ -103,6 +103,26 @@ def test_lines_against_plain_code(spark, band):
         assert x["kept_md5"] == hashlib.md5((want[x["doc_id"]] or "").encode()).hexdigest()
 
 
+def test_exact_counts_are_for_near_lines_alone(spark):
+    """Lines on 1, 4, 5, 6 and 30 sites: the plan holds no table of lines and sites but that of near lines."""
+    rows = [(100 * n + k, f"on {n}\nown {n} {k}", f"s{k}") for n in (1, 4, 5, 6, 30) for k in range(n)] + [(9000 + k, "on 4", f"s{k % 4}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sites = {r["sites"] for r in lines.sketches(lines._lines(df)).collect()}
+    assert sites == {1, 4, 5, 6, 30}
+    gone = lines.boilerplate(df)
+    assert sorted(r["doc"] for r in gone.collect()) == sorted(100 * n + k for n in (5, 6, 30) for k in range(1, n))
+    logical = lines.sketches(lines._lines(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Aggregate") == 1 and "hll_sketch_agg" in logical
+
+
+def test_lines_of_long_texts(spark):
+    """Texts over a megabyte, one of them a single line."""
+    long = "word " * 300_000
+    rows = [(k, f"same\n{long}{k % 2}\nend {k}", f"s{k}") for k in range(6)] + [(9, long, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in lines.remove_lines(df, 3).collect()} == plain_lines(rows, 3)
+
+
 def test_lines_edges(edge_docs, no_docs):
     out = lines.remove_lines(edge_docs)
     assert out.columns == edge_docs.columns and out.dtypes == edge_docs.dtypes and out.count() == edge_docs.count()
