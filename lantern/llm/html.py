@@ -10,9 +10,12 @@ seeded generator (menus, headers, sidebars, notices, adverts, forms, comments, f
 several mark-ups around an article) and knows what each block is. PAGES bounds the fit.
 
 Cases: a null html is empty; a page without an article gives an empty text with n_chars 0.
-Unclosed and stray tags are passed over as browsers do in the main. Scripts, styles,
-comments and the head hold no blocks. Repeated rows give repeated results; an empty table
-gives an empty result; extra columns are ignored. No text is cut.
+Unclosed and stray tags are passed over as browsers do in the main; a head that is not closed
+ends at the first text or tag that only a body holds; quotes count in attribute values as
+long as each tag ends outside of them. Scripts, styles, comments and the head hold no blocks.
+Reading and vectors take time and memory in proportion to the page, however it is nested or
+broken. Repeated rows give repeated results; an empty table gives an empty result; extra
+columns are ignored. No text is cut, however long the page.
 """
 
 from __future__ import annotations
@@ -36,12 +39,12 @@ INPUT = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 PAGES = 1200
 EPOCHS = 10
+#: Blocks of a page whose vectors are held at once.
+SLAB = 8192
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|title|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
+#: A tag whose quoted values may hold any character, and one that ends at its first >. Nothing is tried twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
+_SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+").findall
 
@@ -55,80 +58,150 @@ BLOCK = frozenset(
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+#: Elements whose content is passed over, and those that a head may hold.
+_SKIPPED = frozenset("script style noscript template svg iframe title object".split())
+_IN_HEAD = _SKIPPED | frozenset("html head meta link base basefont bgsound noframes".split())
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I).search for name in _SKIPPED}
+_CLOSES_P = frozenset(("div", "td", "li", "article", "section", "blockquote", "body"))
+_LISTS = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
+_CELLS = frozenset(("td", "th", "table"))
+_OF_TABLE = frozenset(("td", "th", "tr", "table", "tbody", "thead", "tfoot"))
+
+Element = tuple[str, ...]  # a name and the words of its class, id and role
+
+
+class Node:
+    """An open element; those around it are reached through it, so that blocks share them."""
+
+    __slots__ = ("parent", "element", "depth")
+
+    def __init__(self, parent: Node | None, element: Element):
+        self.parent, self.element, self.depth = parent, element, (parent.depth if parent else 0) + 1
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked")
+
+    def __init__(self, node: Node | None, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
+
+    @property
+    def path(self) -> list[Element]:
+        """The elements around the block, outermost first."""
+        out, node = [], self.node
+        while node:
+            out.append(node.element)
+            node = node.parent
+        return out[::-1]
+
 
-    def __init__(self, path: tuple[tuple[str, ...], ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+class Open:
+    """The stack of open elements; where each name stands last is known without a search."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, element: Element) -> None:
+        self.at.setdefault(element[0], []).append(len(self.nodes))
+        self.nodes.append(Node(self.nodes[-1] if self.nodes else None, element))
+
+    def last(self, names: tuple[str, ...] | frozenset[str]) -> int:
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=-1)
+
+    def pop(self, names: tuple[str, ...], barrier: frozenset[str]) -> None:
+        """Closes the innermost element of names and all within, unless one of barrier is within it."""
+        k = self.last(names)
+        if k < 0 or self.last(barrier) > k:
+            return
+        for node in self.nodes[k:]:
+            self.at[node.element[0]].pop()
+        del self.nodes[k:]
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; path: per open element its name and the words of its names."""
+    """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack = Open()
     parts: list[str] = []
-    linked = links = head = 0
+    linked = 0
+    head, quotes = False, True
+    elements: dict[tuple[str, str], Element] = {}
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack.nodes[-1] if stack.nodes else None, text, linked))
             parts.clear()
         linked = 0
 
-    def pop(names: tuple[str, ...], barrier: frozenset[str]) -> None:
-        nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                for x in stack[k:]:
-                    links -= x[0] == "a"
-                del stack[k:]
-                return
-            if stack[k][0] in barrier:
+    def say(text: str) -> None:
+        nonlocal linked, head
+        if head:
+            if text.isspace():
                 return
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not head:
-            text = page[at : m.start()]
-            parts.append(text)
-            if links:
-                linked += len(text)
-        at = m.end()
-        name = m[3]
-        if name is None:
+            head = False
+        parts.append(text)
+        if stack.at.get("a"):
+            linked += len(text)
+
+    at = look = 0  # text begins at; the next < is looked for from
+    last = page.rfind(">")
+    while 0 <= (lt := page.find("<", look)) < last or page.startswith("<!--", lt if lt >= 0 else len(page)):
+        following = page[lt + 1 : lt + 2]
+        if following in ("!", "?"):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->", lt + 4) if comment else page.find(">", lt)
+            end = len(page) if end < 0 else end + (3 if comment else 1)
+            if lt > at:
+                say(page[at:lt])
+            at = look = end
+            continue
+        m = (_TAG if quotes else _SIMPLE_TAG).match(page, lt)
+        if m is None and quotes and _SIMPLE_TAG.match(page, lt):
+            quotes = False  # from here on no tag would end outside of quotes
+            m = _SIMPLE_TAG.match(page, lt)
+        if m is None:
+            look = lt + 1
             continue
-        name = name.lower()
-        if m[2]:
+        if lt > at:
+            say(page[at:lt])
+        at = look = m.end()
+        name = m[2].lower()
+        if m[1]:
             if name == "head":
-                head = 0
+                head = False
             if name in BLOCK:
                 flush()
             elif name == "br":
                 parts.append(" ")
-            pop((name,), frozenset(("td", "th", "table")) if name not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot") else frozenset())
+            stack.pop((name,), frozenset() if name in _OF_TABLE else _CELLS)
+            continue
+        if name in _SKIPPED:
+            end = _ENDS[name](page, at)
+            at = look = end.end() if end else len(page)
             continue
         if name == "head":
-            head = 1
-        elif name == "body":
-            head = 0
+            head = True
+        elif head and name not in _IN_HEAD:
+            head = False
         if name in BLOCK:
             flush()
-            pop(("p",), frozenset(("div", "td", "li", "article", "section", "blockquote", "body")))
+            stack.pop(("p",), _CLOSES_P)
             if name in _SAME:
-                pop(_SAME[name], frozenset(("ul", "ol", "dl", "table", "select", "menu")))
+                stack.pop(_SAME[name], _LISTS)
         elif name == "br":
             parts.append(" ")
         if name not in VOID:
-            links += name == "a"
-            found = _NAMES.findall(m[4]) if m[4] else ()
-            stack.append((name, *(w for f in found for w in _PARTS("".join(f).lower()))))
-    if at < len(page) and not head:
-        parts.append(page[at:])
-        if links:
-            linked += len(page) - at
+            key = name, m[3]
+            if key not in elements:
+                found = _NAMES.findall(m[3]) if m[3] else ()
+                elements[key] = (name, *(w for f in found for w in _PARTS("".join(f).lower())))
+            stack.push(elements[key])
+    if at < len(page):
+        say(page[at:])
     flush()
     return out
 
@@ -138,28 +211,68 @@ def _bucket(word: str, dims: int) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIMS, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        near = "" if depth < 2 else "^"
-        if element[0] not in ("html", "body"):
-            v[_bucket(f"{near}{element[0]}", PATH_DIMS)] = 1
-        for w in element[1:]:
-            v[_bucket(f".{w}", PATH_DIMS)] += 1
-    return v
-
-
-def vectors(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), INPUT), np.float32)
-    for k, b in enumerate(page):
-        x[k, :PATH_DIMS] = _path_vector(b.path)
+def _buckets(element: Element) -> tuple[int, int, tuple[int, ...]]:
+    """Where an element counts by its name among the inner two and farther out (-1: nowhere), and by its words."""
+    name = element[0]
+    own = name not in ("html", "body")
+    return _bucket(name, PATH_DIMS) if own else -1, _bucket(f"^{name}", PATH_DIMS) if own else -1, tuple(_bucket(f".{w}", PATH_DIMS) for w in element[1:])
+
+
+class Paths:
+    """The vector of the elements around a block, kept from block to block: only what has been opened
+    or closed in between is counted anew."""
+
+    def __init__(self) -> None:
+        self.node: Node | None = None
+        self.names, self.words = np.zeros(PATH_DIMS, np.int32), np.zeros(PATH_DIMS, np.int32)
+
+    def _count(self, node: Node, n: int) -> None:
+        _, far, words = _buckets(node.element)
+        if far >= 0:
+            self.names[far] += n
+        for w in words:
+            self.words[w] += n
+
+    def vector(self, node: Node | None) -> np.ndarray:
+        was, opened = self.node, []
+        to = node
+        while was is not to:
+            if to is None or was is not None and was.depth >= to.depth:
+                self._count(was, -1)
+                was = was.parent
+            else:
+                opened.append(to)
+                to = to.parent
+        for x in opened:
+            self._count(x, 1)
+        self.node = node
+        inner = [x for x in (node, node.parent if node else None) if x]
+        here = [_buckets(x.element) for x in inner]
+        for _, far, _ in here:
+            if far >= 0:
+                self.names[far] -= 1
+        out = (self.names > 0).astype(np.float32)
+        for near, far, _ in here:
+            if far >= 0:
+                self.names[far] += 1
+                out[near] = 1
+        return out + self.words
+
+
+def vectors(page: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """A row for each block of the page, or for those from lo to hi."""
+    part = page[lo:hi]
+    x = np.zeros((len(part), INPUT), np.float32)
+    paths = Paths()
+    for k, b in enumerate(part):
+        x[k, :PATH_DIMS] = paths.vector(b.node)
         words = b.text.lower().split()
         seen = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIMS for w in words), np.int64, len(words))
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.sqrt(np.bincount(seen, minlength=WORD_DIMS) / len(words))
         n = len(b.text)
         x[k, -MEASURES:] = (
-            np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, b.linked / n), b.text[-1] in ".!?…:;\"'»”)", len(b.path) / 10,
-            k / len(page), b.text[:1] in "©|»>", sum(map(b.text.count, "!$€%")) / n,
+            np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, b.linked / n), b.text[-1] in ".!?…:;\"'»”)", min(3.0, (b.node.depth if b.node else 0) / 10),
+            (lo + k) / len(page), b.text[:1] in "©|»>", sum(map(b.text.count, "!$€%")) / n,
         )
     return x
 
@@ -183,10 +296,12 @@ class Labeller:
         self.w["c"] = np.zeros(1)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (T, B, H) of x (T, B, INPUT), and what the way back needs."""
+    def _run(self, x: np.ndarray, d: str, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states (T, B, H) of x (T, B, INPUT), and what the way back needs. start: h and c before the first."""
         given = x @ self.w["x" + d] + self.w["b" + d]
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        if start is not None:
+            h, c = start
         states, tape = [], []
         for g in given:
             g = g + h @ self.w["h" + d]
@@ -248,6 +363,21 @@ class Labeller:
             lo = hi
         return out
 
+    def label_long(self, page: list[Block], slab: int = SLAB) -> np.ndarray:
+        """As label() for one page, whose vectors are made a slab at a time, once for either direction."""
+        logit = np.zeros(len(page), np.float32)
+        cuts = [(lo, min(lo + slab, len(page))) for lo in range(0, len(page), slab)]
+        for d, order, out in (("f", cuts, slice(0, HIDDEN)), ("b", cuts[::-1], slice(HIDDEN, None))):
+            start = None
+            for lo, hi in order:
+                x = vectors(page, lo, hi)
+                states, tape = self._run((x if d == "f" else x[::-1])[:, None], d, start)
+                h, c, i, f, o, z, _ = tape[-1]
+                start = states[-1], f * c + i * z
+                states = states[:, 0] if d == "f" else states[::-1, 0]
+                logit[lo:hi] += states @ self.w["o"][out] + (x @ self.w["s"] if d == "f" else 0)
+        return logit + self.w["c"] > 0
+
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, batch: int = 32, seed: int = 9) -> None:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -365,6 +495,8 @@ def page_with_labels(r: random.Random) -> tuple[str, set[str]]:
         inner = f"<div>{inner}</div>"
     before = [piece(k) for k in ("notice", "header", "nav", "ad", "side") if r.random() < 0.5]
     after = [piece(k) for k in ("comment", "form", "side", "ad", "nav", "footer", "notice") if r.random() < 0.4]
+    if r.random() < 0.25:
+        r.shuffle(after)
     end = "" if r.random() < 0.1 else "</body></html>"
     return f"<html><head><title>t</title></head><body>{''.join(before)}{inner}{''.join(after)}{end}", article
 
@@ -385,7 +517,9 @@ def trained(pages: int = PAGES, seed: int = 11) -> Labeller:
 
 def main_text(pages: list[str | None], labeller: Labeller) -> list[str]:
     found = [blocks(p or "") for p in pages]
-    marks = labeller.label([vectors(b) if b else np.zeros((0, INPUT), np.float32) for b in found])
+    none = np.zeros((0, INPUT), np.float32)
+    marks = labeller.label([vectors(b) if 0 < len(b) <= SLAB else none for b in found])
+    marks = [m if len(b) <= SLAB else labeller.label_long(b) for m, b in zip(marks, found, strict=True)]
     return ["\n\n".join(b.text for b, keep in zip(page, mark, strict=True) if keep) for page, mark in zip(found, marks, strict=True)]
 
 

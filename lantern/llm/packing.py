@@ -7,7 +7,8 @@ packed best-fit (largest piece first, into the fullest sequence that holds it).
 Sequences that come out nearly full are emitted. The others travel on, each as one
 item as long as its filling, to fewer shards, where they are packed best-fit again:
 a tree of merges that ends with a single shard, or when a round saves nothing more.
-No task ever holds more than about SHARD_ROWS pieces.
+Shards are dealt by a hash with a salt for each row, so equal rows spread like any others,
+and there are as many as keep a shard near SHARD_ROWS pieces: no task holds many more.
 
 Cases: a null text counts as empty (one piece, the end id alone). Repeated rows and
 null doc_ids are packed like any other row. Ties between pieces of one length go by
@@ -34,8 +35,6 @@ END_ID = 0
 SHARD_ROWS = 40_000
 #: A sequence with at most this many free places is emitted without another round.
 NEARLY_FULL = 4
-#: Each round deals what is left into this many times fewer shards at least.
-FAN_IN = 8
 MEMO = 400_000
 
 #: Texts of these characters alone are split into pre-tokens here; others go whole
@@ -200,7 +199,9 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin
 
 def _pack_shard(level: int, size: int, slack: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["filled", "bin", "offset", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True, True, True], kind="stable")
+        # At first every piece is an item; later the pieces of one stand together in their order.
+        order = ["doc_id", "piece", "ids_crc32", "bin"] if level == 0 else ["bin", "offset"]
+        rows = rows.sort_values(["filled", *order], ascending=[False] + [True] * len(order), kind="stable")
         lead = (rows["offset"] == 0).to_numpy()
         item = np.cumsum(lead) - 1  # the pieces of one item stand together, its first at offset 0
         sizes = rows["filled"].to_numpy()[lead]
@@ -222,37 +223,37 @@ def _pack_shard(level: int, size: int, slack: int):
     return run
 
 
+def merged_shards(shards: int, rows: int, left: int, shard_rows: int) -> int | None:
+    """How many shards the pieces left go on in; None where another round cannot help: nothing
+    is left, what is left needs as many shards, or under a tenth was emitted."""
+    fewer = max(1, -(-left // shard_rows))
+    return fewer if left and fewer < shards and left <= 0.9 * rows else None
+
+
 def pack(pieces: DataFrame, size: int = SEQUENCE, slack: int = NEARLY_FULL, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """pieces with sequence_id and offset. Emitted sequences hold at most size tokens."""
-    pieces = checkpoint(pieces)
+    # Numbered before the checkpoint: a lost task cannot deal its rows anew behind it.
+    pieces = checkpoint(pieces.withColumn("salt", F.monotonically_increasing_id()))
     rows = pieces.count()
     shards = max(1, -(-rows // shard_rows))
     todo = pieces.select(
-        "*",
-        # A piece is an item of its own: bin tells it from others until it has been packed.
-        F.xxhash64("doc_id", "piece", "ids_crc32").alias("bin"), F.lit(0).cast("long").alias("offset"),
-        F.col("length").alias("filled"), F.lit(True).alias("open"),
-    )
+        *(c for c in pieces.columns if c != "salt"),
+        # A piece is an item of its own: bin tells it from all others until it has been packed.
+        F.col("salt").alias("bin"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("filled"), F.lit(True).alias("open"),
+    )
     done = None
     level = 0
     while True:
-        # In the first round a bin may stand for equal rows; its rows are items all the same.
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(shards)))
         packed = checkpoint(dealt.groupBy("shard").applyInPandas(_pack_shard(level, size, slack), _PACKED))
         rest = packed.where("open")
         left = rest.count() if shards > 1 else 0
-        if shards == 1 or left == 0:
-            final, carried = packed, None
-        else:
-            fewer = max(1, min(shards // FAN_IN, -(-left // shard_rows)))
-            if fewer == shards or left >= rows * 0.98 and level:
-                final, carried = packed, None
-            else:
-                final, carried = packed.where("not open"), rest
+        fewer = merged_shards(shards, rows, left, shard_rows)
+        final, rest = (packed, None) if fewer is None else (packed.where("not open"), rest)
         done = final if done is None else done.unionByName(final)
-        if carried is None:
+        if fewer is None:
             break
-        rows, shards, todo, level = left, fewer, carried, level + 1
+        rows, shards, todo, level = left, fewer, rest, level + 1
     return done.select(unsealed("doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 

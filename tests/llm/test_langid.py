@@ -91,7 +91,7 @@ def test_the_query_against_plain_em(spark, small):
         n, table = np.array([*gs.values()], float), np.array([[p(g, x) for x in chosen] for g in gs])
         w = np.full(len(chosen), 1 / len(chosen))
         for _ in range(200 if len(chosen) > 1 else 1):
-            w = w * (n / (table @ w)) @ table
+            w = w * ((n / (table @ w)) @ table)
             w /= w.sum()
         return w, float(n @ np.log(table @ w))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +85,29 @@ def test_merge_rounds(spark):
     assert len(ends) <= one * 1.02 + 2
 
 
+def test_shards_stay_bounded():
+    """The number of shards keeps each near shard_rows, and a round that cannot help is not begun."""
+    for shards, rows, left in ((8, 300_000, 250_000), (100, 4_000_000, 2_000_000), (2, 60_000, 30_000), (1000, 40_000_000, 39_000_000), (3, 120_000, 0)):
+        fewer = packing.merged_shards(shards, rows, left, 40_000)
+        assert fewer is None or (fewer < shards and left <= fewer * 40_000)
+    assert packing.merged_shards(100, 4_000_000, 2_000_000, 40_000) == 50
+    assert packing.merged_shards(8, 320_000, 320_000, 40_000) is None and packing.merged_shards(8, 320_000, 0, 40_000) is None
+
+
+def test_pieces_over_half_a_sequence_and_equal_rows(spark):
+    """Pieces that never share a sequence stop after one round; equal rows spread over the shards."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    alone = spark.createDataFrame([(k, 0, 0, 60, k) for k in range(700)], schema)
+    got = packing.pack(alone, size=100, slack=0, shard_rows=100).collect()
+    assert len({x["sequence_id"] for x in got}) == 700
+    equal = spark.range(900).selectExpr("CAST(NULL AS long) doc_id", "0 piece", "0L start", "1L length", "5L ids_crc32")
+    got = packing.pack(equal, size=100, slack=0, shard_rows=100).collect()
+    shards = {}
+    for x in got:
+        shards.setdefault(x["sequence_id"] >> 30, []).append(x)
+    assert len(got) == 900 and len({x["sequence_id"] for x in got}) <= 14 and max(map(len, shards.values())) < 300
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
     assert packing.best_fit([10, 10], 10) == [0, 1] and packing.best_fit([], 10) == []
@@ -107,6 +131,73 @@ def test_blocks():
     assert html.blocks("") == [] and html.blocks("<p") != [] and html.blocks("<script>never closed <p>x") == []
 
 
+def test_heads_that_are_not_closed():
+    for page, want in (
+        ("<html><head><meta charset=x><p>Hello there dear reader", ["Hello there dear reader"]),
+        ("<head><title>t</title>\n <link rel=x> plain words <p>more", ["plain words", "more"]),
+        ("<head><title>t</title><script>x</script><div>in the body</div></head><p>after", ["in the body", "after"]),
+        ("<head> <style>p{}</style> </head> <body>b", ["b"]),
+    ):
+        assert [b.text for b in html.blocks(page)] == want
+
+
+def test_quotes():
+    assert [b.text for b in html.blocks("<p title=don't>one<p class=\"a>b\">two<p x='>'>three")] == ["one", "two", "three"]
+    assert [b.text for b in html.blocks('<p title="never closed>one<p>two <b>three')] == ["one", "two three"]
+    got = html.blocks('<div class = "Main  text"><p id=x role=\'y\'>a')
+    assert got[0].path == [("div", "main", "text"), ("p", "x", "y")]
+
+
+@pytest.mark.parametrize("broken", [
+    "<script ", "<a href=\"", "<a '", "<p x='y\"", "<b><div>", "<", "</ ", "<!", "<!-- ", "<p>" + "<b>" * 3, "<p><div><b><b><b><hr>", "<li><ul>", "<a =", "<?", "<td><p>", "<title ", "&amp",
+])
+def test_broken_pages_take_time_in_proportion(broken):
+    """A megabyte of each; a quadratic reader would need hours."""
+    page = "<article><p>Some words come first.</p>" + broken * (1_000_000 // len(broken))
+    began = time.process_time()
+    found = html.blocks(page)
+    assert found[0].text == "Some words come first."
+    if len(found) > 1:
+        html.vectors(found[:20_000])
+    html.blocks(page + ">")
+    assert time.process_time() - began < 60
+
+
+def test_long_pages_are_labelled_like_short_ones(labeller):
+    r = random.Random(12)
+    for _ in range(20):
+        found = html.blocks(html.page_with_labels(r)[0])
+        assert np.array_equal(labeller.label_long(found, 5), labeller.label([html.vectors(found)])[0])
+
+
+def test_a_page_of_a_megabyte(spark, labeller):
+    r = random.Random(3)
+    paragraphs = [html._prose(r, 60).replace("&amp;", "&") for _ in range(4000)]
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/>News</a></li></ul></nav><article><h1>Title of it</h1>" + "".join(f"<p>{p.replace('&', '&amp;')}</p>" for p in paragraphs)
+    page += "</article><footer><p>© 2024 All rights reserved</p></footer></body></html>"
+    assert len(page) > 1 << 20
+    row = html.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), labeller).first()
+    assert row["text"] == "\n\n".join(["Title of it", *paragraphs])
+
+
+@pytest.mark.parametrize("opening", ['<div class="content">', '<div id="main">', "<main>", "<section class=post>", '<div class="entry story">'])
+def test_main_text_that_is_not_in_an_article(labeller, opening):
+    """Pages put down by hand, with their texts; no article element anywhere."""
+    close = "</" + opening[1:].split()[0].rstrip(">") + ">"
+    text = [
+        "A walk along the old canal", "The path begins behind the station and follows the water for about six miles.",
+        "Herons stand in the reeds in the morning, and few people come by before ten.", "After the second lock the path turns away from the road & into the woods.",
+    ]
+    page = (
+        '<html><head><title>x</title></head><body><div class="cookie-notice">We use cookies to improve your visit. <button>Accept</button></div>'
+        '<header><div>Canal Walks</div></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li><li><a href="/c">Contact</a></li></ul></nav>'
+        f"{opening}<h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p><p>{text[3].replace('&', '&amp;')}</p>{close}"
+        '<aside class="sidebar"><h3>Related posts</h3><ul><li><a href="/d">Ten more walks</a></li></ul></aside><div class="comments"><p>Great read, thanks!</p><p>Reply</p></div>'
+        '<form class="newsletter"><label>Email address</label><button>Subscribe</button></form><footer><p>© 2024 All rights reserved</p></footer><script>var a = 1;</script></body></html>'
+    )
+    assert html.main_text([page], labeller) == ["\n\n".join(text)]
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return html.trained()
