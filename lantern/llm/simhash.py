@@ -22,15 +22,17 @@ agree to it are linked besides, however many bits lie between their fingerprints
 Jaccard similarity of 0.8 that is about ten. TABLES more fingerprints a text, each of a
 min-wise sample of SAMPLED shingles, agree in at least one table with a probability of
 0.998 at 0.8 and more above it (1 - (1 - J ** SAMPLED) ** TABLES); they only gather
-candidates. Within a list of texts that share one, two are linked if the shared part of
-their whole sets of shingle hashes (64 bits) reaches the similarity. Pairs that are linked
-already are not compared, so a group of copies costs about one comparison each. The sets
-of one list are held in one task.
+candidates. A list of texts that share one is worked off in rounds: a few of its texts are
+hubs, the others are compared with them by their whole shingle sets, and hubs leave the
+list. Texts that are in one component by then need no comparison; a list ends when all that
+are left of it are. Each round takes HUBS_GROW times as many hubs. A task holds the shingle
+set of one hub; the comparisons of a hub go in parts of HUB_PAIRS.
 
 Cases: a null text has no words, like an empty one: fingerprint zero, linked like any
 other. Repeated rows and rows of one doc_id each come back. component_id is null only if
 no row of the component has a doc_id. An empty table gives an empty result. Extra
-columns are ignored.
+columns are ignored. A very long text is read a slab of words at a time; its shingle set, where
+one is needed, is held whole.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ LIST_MAX = 4096
 EDGES_PER_PART = 500_000
 #: Sample fingerprints of a text, and the shingles each is taken of.
 TABLES, SAMPLED = 12, 4
+#: How many times more hubs a list has in each round, and how many texts one task compares with a hub.
+HUBS_GROW, HUB_PAIRS = 8, 2000
 #: Bytes of shingle sets that a worker puts into one batch.
 SETS_BYTES = 4 << 20
 #: Bytes of a text whose words are held at once.
@@ -290,70 +294,89 @@ def links(distinct: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def _scan_sets(similarity: float):
-    """Rows (key, node, th, hashes) sorted by key and th -> edges (u > v) between nodes that
-    hold texts of this similarity; of a list, a spanning forest."""
+    """Rows (hub, part, kind, node, hashes) sorted so, the hub itself (kind 0) before the texts it is
+    compared with -> edges (u > v) between nodes that hold texts of this similarity."""
 
     @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = last = None
-        root: dict[int, int] = {}
-        held: list[tuple[int, np.ndarray]] = []
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
+        at: tuple[int, int, int, np.ndarray] | None = None
         for b in batches:
             out = []
-            for key, node, th, data in zip(b["key"].tolist(), b["node"].tolist(), b["th"].tolist(), b["hashes"], strict=True):
-                if key != head:
-                    head, last, root, held = key, None, {}, []
-                if th == last:  # a repeated row
-                    continue
-                last = th
-                root.setdefault(node, node)
-                own = np.frombuffer(data, np.uint64)
-                for other, hashes in held:
-                    x, y = find(node), find(other)
-                    if x != y and alike(own, hashes, similarity):
-                        root[max(x, y)] = min(x, y)
-                        out.append((max(node, other), min(node, other)))
-                held.append((node, own))
+            for hub, part, kind, node, data in zip(b["hub"].tolist(), b["part"].tolist(), b["kind"].tolist(), b["node"].tolist(), b["hashes"], strict=True):
+                if kind == 0:
+                    at = hub, part, node, np.frombuffer(data, np.uint64)
+                elif at is not None and at[:2] == (hub, part) and alike(np.frombuffer(data, np.uint64), at[3], similarity):
+                    out.append((max(node, at[2]), min(node, at[2])))
             if out:
-                yield pd.DataFrame(out, columns=["u", "v"])
+                yield pd.DataFrame(out, columns=["u", "v"]).drop_duplicates()
 
     return run
 
 
-def similar_links(df: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (u, v), u > v, between the nodes of members (doc_id, th, tables, node: a row of df
-    each) that hold texts of this similarity."""
-    width = shuffle_width(df.sparkSession)
-    posted = members.select("doc_id", "th", "node", F.explode("tables").alias("key"))
-    # Most lists are of one node; the sets of the others' texts alone are made.
-    several = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    wanted = posted.join(several, "key").groupBy("doc_id", "th", "node").agg(F.collect_set("key").alias("keys"))
-    texts = df.select(sealed("doc_id").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+def _compared(df: DataFrame, pairs: DataFrame, hubs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) of pairs (doc_id, th, node, hub) whose texts are alike; hubs: doc_id, th, node of each hub."""
+    counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    members = pairs.join(counts, "hub").select("doc_id", "th", "hub", F.pmod(F.xxhash64("th"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "node")
+    own = hubs.join(counts, hubs["th"] == counts["hub"]).select(
+        "doc_id", "th", "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node"
+    )
+    asked = members.unionByName(own).groupBy("doc_id", "th").agg(F.collect_list(F.struct("hub", "part", "kind", "node")).alias("asked"))
+    text = F.col("text").cast("string")
+    texts = df.select(sealed("doc_id").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["hub", "part", "kind", "node", "hashes"]
+        last = None
         for b in batches:
             rows, size = [], 0
-            for node, th, keys, text in zip(b["node"].tolist(), b["th"].tolist(), b["keys"], b["text"], strict=True):
+            for *document, asked, text in zip(b["doc_id"].tolist(), b["th"].tolist(), b["asked"], b["text"], strict=True):
+                if document == last:  # a repeated row
+                    continue
+                last = document
                 data = shingle_set(text, shingle).tobytes()
-                for key in keys.tolist():
-                    rows.append((key, node, th, data))
+                for x in asked:
+                    rows.append((x["hub"], x["part"], x["kind"], x["node"], data))
                     size += len(data)
                     if size > SETS_BYTES:
-                        yield pd.DataFrame(rows, columns=["key", "node", "th", "hashes"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "node", "th", "hashes"])
+                yield pd.DataFrame(rows, columns=columns)
+
+    sets = texts.join(asked, ["doc_id", "th"]).select("doc_id", "th", "asked", "text").mapInPandas(run, "hub long, part int, kind int, node long, hashes binary")
+    order = ("hub", "part", "kind")
+    return sets.repartition(shuffle_width(df.sparkSession), "hub", "part").sortWithinPartitions(*order).mapInPandas(_scan_sets(similarity), "u long, v long").distinct()
+
 
-    sets = texts.join(wanted, ["doc_id", "th"]).select("node", "th", "keys", "text").mapInPandas(run, "key long, node long, th long, hashes binary")
-    return sets.repartition(width, "key").sortWithinPartitions("key", "th").mapInPandas(_scan_sets(similarity), "u long, v long").distinct()
+def similar_classes(df: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """(node, component) of the nodes of members (doc_id, th, tables, node: a row of df each) that texts of
+    this similarity link; None if there are none to compare."""
+    posted = members.select("doc_id", "th", "node", F.explode("tables").alias("key"))
+    # Most lists are of one node; the others alone are kept.
+    several = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    left = posted.join(several, "key")
+    edges = found = None
+    hubs, turn = 1, 0
+    while True:
+        now = left.withColumn("component", F.col("node"))
+        if found is not None:
+            now = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("th").alias("low"), F.count("*").alias("n")).where("a < b")
+        chance = F.pmod(F.xxhash64("th", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        now = now.join(state, "key").withColumn("is_hub", (F.col("th") == F.col("low")) | (chance < (hubs - 1) / F.col("n")))
+        now = checkpoint(now.select("key", "doc_id", "th", "node", "component", "is_hub"))
+        if now.isEmpty():
+            return found
+        of_list = now.where("is_hub").select("key", F.col("th").alias("hub"), F.col("component").alias("hub_component"))
+        others = (F.col("component") != F.col("hub_component")) & (~F.col("is_hub") | (F.col("th") > F.col("hub")))
+        pairs = now.join(of_list, "key").where(others).select("doc_id", "th", "node", "hub").distinct()
+        chosen = now.where("is_hub").select("doc_id", "th", "node").distinct()
+        new = _compared(df, pairs, chosen, shingle, similarity)
+        edges = checkpoint(new if edges is None else edges.unionByName(new))
+        found = components(edges)
+        left = now.where("not is_hub").select("key", "doc_id", "th", "node")
+        hubs, turn = hubs * HUBS_GROW, turn + 1
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -424,8 +447,10 @@ def keep_one(df: DataFrame, shingle: int = SHINGLE, similarity: float | None = N
         joined = checkpoint(joined)
         texts = made.groupBy("th").agg(F.min_by(F.struct("doc_id", "fp", "tables"), "doc_id").alias("m")).select("th", "m.*")
         members = texts.join(joined.select("fp", F.col("component").alias("node")), "fp")
-        wider = components(similar_links(df, members, shingle, similarity)).withColumnRenamed("component", "wide")
-        joined = joined.join(wider, joined["component"] == wider["node"], "left").select("row", F.coalesce("wide", "component").alias("component"))
+        wider = similar_classes(df, members, shingle, similarity)
+        if wider is not None:
+            wider = wider.withColumnRenamed("component", "wide")
+            joined = joined.join(wider, joined["component"] == wider["node"], "left").select("row", F.coalesce("wide", "component").alias("component"))
     stays = joined.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(key), F.col("row.th").alias(th))
     keyed = df.withColumn(key, sealed("doc_id")).withColumn(th, F.xxhash64(text))
     left = keyed.join(stays, [key, th], "left_semi")

@@ -14,6 +14,7 @@ def through(spark, docs, tmp_path):
 
 def test_stages_on_the_small_table(spark, small, tmp_path):
     from tests.llm.test_quality_lines import plain_lines
+    from tests.llm.test_similar import jaccard, shingles
     from tests.llm.test_simhash import classes, plain_fingerprint
     from tests.llm.test_suffixes import plain_removal
 
@@ -26,7 +27,9 @@ def test_stages_on_the_small_table(spark, small, tmp_path):
     assert texts == want
     fps = {k: plain_fingerprint(t, 5) for k, t in texts.items()}
     keys = sorted(fps)
-    groups = classes([(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3], keys)
+    sets = {k: shingles(t or "") for k, t in texts.items()}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3 or sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8
+    groups = classes([(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if near(a, b)], keys)
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(groups.values()))
     left = plain_removal([(r["doc_id"], r["text"]) for r in single.collect()], 100)
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {d: x.decode("utf-8", "ignore") for d, (x, _) in left.items()}

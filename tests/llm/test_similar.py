@@ -63,3 +63,27 @@ def test_alike_and_samples(monkeypatch):
     whole = [(simhash.sampled(t, 5), simhash.shingle_set(t, 5).tobytes()) for t in texts]
     monkeypatch.setattr(simhash, "SLAB", 16)
     assert whole == [(simhash.sampled(t, 5), simhash.shingle_set(t, 5).tobytes()) for t in texts]
+
+
+def test_lists_without_a_common_text(spark, monkeypatch):
+    """A chain in which each text is like its neighbours alone, all under one key: several rounds of
+    hubs, the comparisons of each in parts, and the links of all pairs."""
+    monkeypatch.setattr(simhash, "HUB_PAIRS", 3)
+    monkeypatch.setattr(simhash, "HUBS_GROW", 2)
+    r = random.Random(7)
+    own = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = {}
+    for k in range(40):
+        if k % 10 == 0:  # four chains that have nothing to do with each other
+            own = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for at in range((k % 10) * 18, (k % 10) * 18 + 18, 9):
+            own[at] = f"new{k}x{at}"
+        texts[k] = " ".join(own)
+    sets = {d: shingles(t) for d, t in texts.items()}
+    want = classes([(a, b) for a in texts for b in texts if a < b and jaccard(sets[a], sets[b]) >= 0.8], sorted(texts))
+    assert len(set(want.values())) == 4 and any(jaccard(sets[0], sets[b]) < 0.8 for b in range(1, 10))
+    df = spark.createDataFrame([*texts.items(), *[(d, t) for d, t in texts.items() if d % 3 == 0]], "doc_id long, text string")
+    members = df.distinct().selectExpr("doc_id", "xxhash64(text) AS th", "array(1L, doc_id DIV 10) AS tables", "doc_id AS node")
+    found = {x["node"]: x["component"] for x in simhash.similar_classes(df, members, 5, 0.8).collect()}
+    assert {d: found.get(d, d) for d in texts} == want
+    assert simhash.similar_classes(df, members.limit(0), 5, 0.8) is None
