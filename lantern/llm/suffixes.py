@@ -9,7 +9,8 @@ can repeat together is brought together first, without its text:
    document becomes runs of strings, one row (anchor, hash of the run's bytes, place) each.
 2. The rows meet by anchor. A run whose anchor has no other run (and that cannot repeat
    within itself) holds no repeat. All others become segments: equal runs are one segment
-   with a list of places, whose bytes are looked up once.
+   with a list of places, whose bytes are looked up once. Segments that follow each other in
+   all of their places, as in copies, are one longer segment.
 3. Segments are concatenated, whole anchors and about BATCH bytes at a time, into an
    enhanced suffix array. A stack scan builds the tree of common-prefix intervals; an
    interval whose occurrences are preceded by different bytes, or a segment with several
@@ -59,7 +60,8 @@ OPEN_MAX, ANCHOR_BYTES = 16_384, 1 << 20
 ROUNDS = 64
 
 PLAIN, SELF, SPAN = 0, 1, 2  # kinds of rows by anchor; SELF: may repeat within itself
-REPEAT, SEGMENT, LATER, STRINGS = 0, 1, 2, 3  # kinds of rows by document; LATER: a segment known to stand earlier too
+#: Kinds of rows by document. LATER: a segment known to stand earlier too; SOLE: one whose anchor has no other.
+REPEAT, SEGMENT, LATER, STRINGS, SOLE = 0, 1, 2, 3, 4
 PLACE = np.dtype([("doc", "<i8"), ("t1", "<i8"), ("t2", "<i8"), ("s", "<i8")])
 DOCUMENT = ["doc", "t1", "t2"]
 
@@ -476,7 +478,8 @@ def _meet(min_len: int, open_max: int, anchor_bytes: int):
             others = [raw[32 * (x + 1) : 32 * y] if y > x + 1 else None for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
             # Of an anchor that is not held whole, a run with several places is a segment by itself.
             own = np.where(over[of[k]], ((a[lo].view(np.uint64) * _STEP ^ v[lo].view(np.uint64)) * _STEP + np.uint64(part)).view(np.int64), a[lo])
-            kind = np.where((k == 0) & later, LATER, SEGMENT)
+            alone = (kinds == 1) & ~within & ~over
+            kind = np.where((k == 0) & later, LATER, np.where(alone[of[k]], SOLE, SEGMENT))
             yield told(kind, own, place[lo], place["s"][lo] + size[lo], others)
             k = np.nonzero(over[of] & ~((np.arange(len(heads)) == 0) & later))[0]
             if len(k):
@@ -508,6 +511,29 @@ def _meet(min_len: int, open_max: int, anchor_bytes: int):
     return run
 
 
+def _moved(places: bytes, by: int) -> bytes:
+    """The places, by so many bytes farther left."""
+    out = np.frombuffer(places, PLACE).copy()
+    out["s"] -= by
+    return out.tobytes()
+
+
+def _chained(sole: list, min_len: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(a, s, e, others) of segments of one document, those joined that go on in all their places."""
+    a = s = e = others = None
+    for x in sorted(sole, key=lambda x: x["s"]):
+        if others is not None and x["s"] == e - min_len + 1 and x["e"] - s <= PIECE and len(x["others"]) == len(others):
+            # Mostly there is one further place: its document first, then its start.
+            if x["others"][:24] == others[:24] and _moved(x["others"], x["s"] - s) == others:
+                e = x["e"]
+                continue
+        if others is not None:
+            yield a, s, e, others
+        a, s, e, others = x["a"], x["s"], x["e"], x["others"]
+    if others is not None:
+        yield a, s, e, others
+
+
 def _cut(min_len: int):
     """Documents with what is asked of them, those of one document together -> segments (a, doc,
     t1, t2, s, later, part, others)."""
@@ -536,16 +562,18 @@ def _cut(min_len: int):
                     continue  # a repeated row
                 last = document
                 data = text.encode("utf-8", "surrogatepass")
+                whole = [(a, s, e, False, others) for a, s, e, others in _chained([x for x in asked if x["kind"] == SOLE], min_len)]
+                whole += [(x["a"], x["s"], x["e"], x["kind"] == LATER, x["others"]) for x in asked if x["kind"] in (SEGMENT, LATER)]
+                for a, s, e, later, others in whole:
+                    rows.append((a, *document, s, later, data[s:e], others))
+                    size += e - s + len(others or b"")
+                    if size > 4 * BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
                 for x in asked:
-                    s, part = x["s"], data[x["s"] : x["e"]]
                     if x["kind"] != STRINGS:
-                        rows.append((x["a"], *document, s, x["kind"] == LATER, part, x["others"]))
-                        size += len(part) + len(x["others"] or b"")
-                        if size > 4 * BATCH:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, size = [], 0
                         continue
-                    cut.append((document, s, part))
+                    cut.append((document, x["s"], data[x["s"] : x["e"]]))
                     if sum(len(p) for *_, p in cut) > BATCH // 16:
                         yield strings(cut)
                         cut = []
