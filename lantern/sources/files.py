@@ -127,33 +127,38 @@ def pdf_hex(data: bytes, at: int) -> tuple[str, int]:
     return pdf_string(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())), (end + 1 if end >= 0 else len(data))
 
 
+#: What matters of a text section: strings, dictionaries (passed over) and the operators that begin a line.
+_TEXT_MARKS, _LITERAL_MARKS = re.compile(rb"<<|[(<*'\"]"), re.compile(rb"\(")
+_TEXT_SECTIONS = re.compile(rb"BT.*?ET", re.S).finditer
+
+
+def pdf_strings(data: bytes, marks: re.Pattern[bytes], begin: int, end: int) -> Iterator[str | None]:
+    """The strings that open at a mark from begin to end, in order; None for a new line."""
+    at = begin
+    while mark := marks.search(data, at, end):
+        at = mark.end()
+        if mark[0] == b"(":
+            text, at = pdf_literal(data, mark.start())
+            yield text
+        elif mark[0] == b"<":
+            text, at = pdf_hex(data, mark.start())
+            yield text
+        elif mark[0] != b"<<":
+            yield None
+
+
 def pdf_plain_text(data: bytes) -> str:
     """Text of the strings between BT and ET of an uncompressed PDF; if that is next to nothing, of
     all literal strings."""
-    out = []
-    at = 0
-    while (begin := data.find(b"BT", at)) >= 0 and (end := data.find(b"ET", begin + 2)) >= 0:
-        i = begin + 2
-        while i < end:
-            c = data[i : i + 1]
-            if c == b"(" or c == b"<" and i + 1 < end and data[i + 1 : i + 2] != b"<":
-                text, i = pdf_literal(data, i) if c == b"(" else pdf_hex(data, i)
-                if text:
-                    out.append(text + " ")
-                continue
-            if c in b"*'\"":
-                out.append("\n")
-            i += 1
-        out.append("\n")
-        at = end + 2
-    if len("".join(out).encode("utf-8", "replace")) < FALLBACK_BYTES:
-        i = data.find(b"(")
-        while i >= 0:
-            text, i = pdf_literal(data, i)
-            if len(text.encode("utf-8", "replace")) >= LITERAL_BYTES:
-                out.append(text + "\n")
-            i = data.find(b"(", i)
-    return re.sub("\r\n?", "\n", "".join(out))
+    sections = []
+    for section in _TEXT_SECTIONS(data):
+        strings = pdf_strings(data, _TEXT_MARKS, section.start() + 2, section.end() - 2)
+        sections.append("".join("\n" if x is None else x and x + " " for x in strings) + "\n")
+    text = "".join(sections)
+    if len(text.encode("utf-8", "replace")) < FALLBACK_BYTES:
+        literals = pdf_strings(data, _LITERAL_MARKS, 0, len(data))
+        text += "".join(x + "\n" for x in literals if x and len(x.encode("utf-8", "replace")) >= LITERAL_BYTES)
+    return re.sub("\r\n?", "\n", text)
 
 
 def _tool(command: list[str], data: bytes, timeout_ms: int, cap: int) -> str:
