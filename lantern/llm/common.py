@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -23,17 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of our own on a single
+    machine; on a cluster, whose machines would not see each other's, an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint of df in the folder that spark.checkpoint.dir
-    names; only where that is unset (single-machine tests) in a folder of our own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """An eager reliable checkpoint of df in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
