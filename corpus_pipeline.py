@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs:
 
-1. language ID drops documents without a known language (null texts, texts without a letter);
+1. language ID drops null texts, texts without a letter and texts that no mixture of the learned
+   languages explains;
 2. line dedup removes the lines that stand on five sites or more, but for their first place;
 3. SimHash near-dedup on five-word shingles leaves one document of each group of fingerprints within
    three bits or of texts with a Jaccard similarity of 0.8 or more;
@@ -15,13 +16,13 @@ All but the last return the columns of documents. An empty table passes through
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lantern.llm import langid, lines, packing, simhash, suffixes
+from lantern.llm.common import remove_folder, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -65,11 +66,15 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; what is written between them goes to the shared
-    folder that spark.checkpoint.dir names."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/pipeline-{uuid.uuid4().hex}"
+    folder that spark.checkpoint.dir names, and a stage's input goes once its output is there."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    old = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if old:
+            remove_folder(spark, old)
+        old = out
     return docs
