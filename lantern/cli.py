@@ -4,6 +4,7 @@ python -m lantern.cli build FOLDER [-o INDEX] [-j N]
 python -m lantern.cli search INDEX WORDS... [-n N] [--answer] [--no-color]
 python -m lantern.cli query FOLDER WORDS... [-n N] [--answer] [--no-color]
 python -m lantern.cli interactive INDEX [-n N] [--answer] [--no-color]
+python -m lantern.cli tasks [FILE]
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import SparkSession
 
 from lantern.functions import fixed
 from lantern.functions.terms import BLANKS
-from lantern.operators import cache, index, present, search
+from lantern.operators import cache, index, present, search, tasks
 
-DEFAULT_INDEX = "docsearch.idx"
+DEFAULT_INDEX = "lantern.idx"
 
 
 @dataclass
@@ -100,7 +101,13 @@ def main(args: list[str]) -> int:
 
 
 def _run(args: list[str]) -> int:
+    for stream in (sys.stdin, sys.stdout, sys.stderr):
+        if hasattr(stream, "reconfigure"):
+            stream.reconfigure(encoding="utf-8", errors="replace")
     verb, rest = (args[0], args[1:]) if args else ("", [])
+    if verb == "tasks":
+        tasks.menu(session(1), rest[0] if rest else tasks.DEFAULT_FILE)
+        return 0
     if verb not in ("build", "search", "query", "interactive") or not rest or verb in ("search", "query") and len(rest) < 2:
         print(__doc__)
         return 1

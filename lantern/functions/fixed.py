@@ -53,6 +53,9 @@ SKIPPED_DIRECTORIES = (
 ).split()
 EXTENSIONS = ".txt .text .md .markdown .docx .pdf".split()
 
+#: Our own cache of texts below a working directory.
+CACHE_DIRECTORY = ".lantern_cache"
+
 # Labels of the metadata fragment, and what it says of a file without text.
 META_NAME, META_TITLE, META_PATH, META_TYPE = "Имя файла: ", "Название: ", "Путь: ", "Тип файла: "
 META_NO_TEXT = (

@@ -40,11 +40,15 @@ def raw_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(f"({WORD})"), F.lit(0))
 
 
-def _stem(folded: Column) -> Column:
-    """Without a Russian and then an English suffix; three characters at least stay before either."""
-    for suffixes in (fixed.RUSSIAN_SUFFIXES, fixed.ENGLISH_SUFFIXES):
-        folded = F.regexp_replace(folded, f"(?<=...)(?:{'|'.join(dict.fromkeys(suffixes))})$", "")
-    return folded
+def _without(folded: Column, suffixes: list[str]) -> Column:
+    """Without the longest of the suffixes that leaves three characters; one look-up for each length."""
+    size = F.length(folded)
+    cut = None
+    for n in sorted({len(x) for x in suffixes}, reverse=True):
+        found = (size >= n + 3) & F.right(folded, F.lit(n)).isin([x for x in dict.fromkeys(suffixes) if len(x) == n])
+        short = F.substring(folded, F.lit(1), size - n)
+        cut = F.when(found, short) if cut is None else cut.when(found, short)
+    return cut.otherwise(folded)
 
 
 def _counts(stem: Column) -> Column:
@@ -53,14 +57,39 @@ def _counts(stem: Column) -> Column:
 
 def normalise(folded: Column) -> Column:
     """The term of a folded word, null if it is a stop word or under two bytes long."""
-    stem = _stem(folded)
-    return F.when(~folded.isin(fixed.STOP_WORDS) & _counts(stem), stem)
+    return F.get(F.filter(_stems(F.filter(F.array(folded), lambda w: ~w.isin(fixed.STOP_WORDS))), _counts), F.lit(0))
+
+
+def _stems(words: Column) -> Column:
+    russian = F.transform(words, lambda w: _without(w, fixed.RUSSIAN_SUFFIXES))
+    return F.transform(russian, lambda w: _without(w, fixed.ENGLISH_SUFFIXES))
+
+
+def stemmed(words: DataFrame, raw: str = "raw") -> DataFrame:
+    """words and stem, that of the folded word in raw.
+
+    In rows, not in arrays, so that all of it is compiled. Each step is made by a generator, which
+    neither a projection nor a filter is merged with: what refers to a step does not repeat it."""
+    d = words.select("*", F.explode(F.array(_without(F.col(raw), fixed.RUSSIAN_SUFFIXES))).alias("_russian"))
+    return d.select(*words.columns, F.explode(F.array(_without(F.col("_russian"), fixed.ENGLISH_SUFFIXES))).alias("stem"))
+
+
+def with_terms(words: DataFrame, raw: str = "raw") -> DataFrame:
+    """words and term, null where the word has none."""
+    some = ~F.col(raw).isin(fixed.STOP_WORDS) & _counts(F.col("stem"))
+    return stemmed(words, raw).select(*words.columns, F.when(some, F.col("stem")).alias("term"))
+
+
+def term_rows(words: DataFrame, raw: str = "raw") -> DataFrame:
+    """words with term in place of raw; words without a term are left out."""
+    d = stemmed(words.where(~F.col(raw).isin(fixed.STOP_WORDS)), raw).where(_counts(F.col("stem")))
+    return d.select(*(c for c in words.columns if c != raw), F.col("stem").alias("term"))
 
 
 def terms(text: Column | str) -> Column:
-    """The terms of a text in order, repeats included; each word's suffixes are looked for once."""
+    """The terms of a text in order, repeats included; for short texts, such as queries."""
     words = F.filter(raw_tokens(text), lambda w: ~w.isin(fixed.STOP_WORDS))
-    return F.filter(F.transform(words, _stem), _counts)
+    return F.filter(_stems(words), _counts)
 
 
 def query_terms(text: Column | str) -> Column:

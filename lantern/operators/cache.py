@@ -12,7 +12,9 @@ import os
 import shutil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lantern.functions.fixed import CACHE_DIRECTORY
 from lantern.operators.index import Index, build, cache_misses
 from lantern.sources.files import extract_text, list_files, read_bytes
 
@@ -21,7 +23,7 @@ SCHEMA = "rel_key string, size long, mtime long, text string, error string"
 
 def cache_dir(root: str, base: str = ".") -> str:
     """The default place of a folder's cache: by a hash of its real path."""
-    return os.path.join(os.path.abspath(base), ".docsearch_cache", hashlib.sha256(os.path.realpath(root).encode()).hexdigest()[:16])
+    return os.path.join(os.path.abspath(base), CACHE_DIRECTORY, hashlib.sha256(os.path.realpath(root).encode()).hexdigest()[:16])
 
 
 def _generations(path: str) -> list[int]:
@@ -31,9 +33,11 @@ def _generations(path: str) -> list[int]:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     for n in reversed(_generations(path)):
+        rows = spark.read.schema(SCHEMA).parquet(os.path.join(path, str(n)))
         try:
-            return spark.read.schema(SCHEMA).parquet(os.path.join(path, str(n)))
-        except Exception:  # noqa: BLE001  any damage means an empty cache
+            rows.select(F.max(F.length("text")), F.max("mtime"), F.max("error")).collect()  # reads all of it
+            return rows
+        except Exception:  # noqa: BLE001  a damaged generation does not count
             continue
     return spark.createDataFrame([], SCHEMA)
 

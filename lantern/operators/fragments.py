@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import fixed
 from lantern.functions.decode import byte_view, from_byte_view, newlines
-from lantern.functions.terms import terms, trim
-from lantern.plans.physical import ranges, running_before
+from lantern.functions.terms import raw_tokens, term_rows, trim
+from lantern.plans.physical import checkpoint, ranges, running_before
 
 
 def sentences(text: Column) -> Column:
@@ -71,24 +71,33 @@ def metadata_text(name: Column, path: Column, kind: Column, indexed: Column) ->
     )
 
 
-def fragment_rows(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, path, title, type, text) -> doc_id, ordinal, text, terms, length, metadata_only.
-
-    One pass within each row; fragments without a term are dropped and leave no gap."""
+def fragment_parts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, path, title, type, text) -> doc_id, k, text, metadata_only: the metadata text and
+    what the body is packed into, with or without terms."""
     body = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", "path", "title", "type", content_fragments(body).alias("parts"), (trim(body) != "").alias("indexed"))
     d = d.select("doc_id", F.concat(F.array(metadata_text(F.col("title"), F.col("path"), F.col("type"), F.col("indexed"))), "parts").alias("parts"))
-    with_terms = F.transform("parts", lambda t, k: F.struct(t.alias("text"), terms(t).alias("terms"), (k == 0).alias("metadata_only")))
-    d = d.select("doc_id", F.filter(with_terms, lambda f: F.size(f["terms"]) > 0).alias("parts"))
-    d = d.select("doc_id", F.posexplode("parts").alias("ordinal", "f"))
-    return d.select("doc_id", "ordinal", "f.text", "f.terms", F.size("f.terms").cast("long").alias("length"), "f.metadata_only")
+    return d.select("doc_id", F.posexplode("parts").alias("k", "text")).withColumn("metadata_only", F.col("k") == 0)
+
+
+def part_terms(parts: DataFrame) -> DataFrame:
+    """doc_id, k, term of every word of parts that has a term."""
+    return term_rows(parts.select("doc_id", "k", F.explode(raw_tokens("text")).alias("raw")))
 
 
-def number_fragments(rows: DataFrame) -> DataFrame:
-    """rows with fragment_id, dense in the order of document and ordinal."""
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = running_before(counts, "first", "n", "doc_id").select("doc_id", "first")
-    return rows.join(first, "doc_id").select((F.col("first") + F.col("ordinal")).cast("long").alias("fragment_id"), *rows.columns)
+def fragment_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fragments (fragment_id, doc_id, ordinal, text, length, metadata_only) of docs and their postings
+    (term, fragment_id, doc_id, tf). Parts without a term are dropped and leave no gap; fragment_id
+    is dense in the order of document and ordinal."""
+    parts = checkpoint(fragment_parts(docs))
+    counts = checkpoint(part_terms(parts).groupBy("doc_id", "k", "term").agg(F.count("*").alias("tf")))
+    lengths = counts.groupBy("doc_id", "k").agg(F.sum("tf").alias("length"))
+    first = running_before(lengths.groupBy("doc_id").agg(F.count("*").alias("n")), "first", "n", "doc_id").select("doc_id", "first")
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1
+    rows = parts.join(lengths, ["doc_id", "k"]).withColumn("ordinal", ordinal).join(first, "doc_id")
+    fragments = checkpoint(rows.select((F.col("first") + F.col("ordinal")).cast("long").alias("fragment_id"), "doc_id", "ordinal", "k", "text", "length", "metadata_only"))
+    posts = counts.join(fragments.select("doc_id", "k", "fragment_id"), ["doc_id", "k"]).select("term", "fragment_id", "doc_id", "tf")
+    return fragments.drop("k"), posts
 
 
 def _walk(counts: list[int], begin: int, room: tuple[int, int] = (0, 0)) -> tuple[list[int], tuple[int, int]]:
@@ -106,6 +115,29 @@ def _walk(counts: list[int], begin: int, room: tuple[int, int] = (0, 0)) -> tupl
     return starts, (docs, frags)
 
 
+def _ways(counts: list[int]) -> list[tuple[int, int, int]]:
+    """For each number of first documents that still belong to the open segment: how many segments begin
+    behind them, and what the last one holds.
+
+    From a place where a segment begins all goes the same, so each place is followed once."""
+    ends: list[tuple[int, int]] = []  # for each place: where the segment that begins there ends, and its fragments
+    stop = held = 0
+    for k, n in enumerate(counts):
+        if k >= stop:
+            stop, held = k, 0
+        while stop < len(counts) and (stop == k or stop - k < fixed.SEGMENT_DOCS and held + counts[stop] <= fixed.SEGMENT_FRAGMENTS):
+            held += counts[stop]
+            stop += 1
+        ends.append((stop, held))
+        held -= n
+    found: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(counts) + 1)
+    for k in range(len(counts) - 1, -1, -1):
+        stop, held = ends[k]
+        begun, docs, frags = found[stop]
+        found[k] = (begun + 1, docs, frags) if begun else (1, stop - k, held)
+    return found[: fixed.SEGMENT_DOCS + 1]
+
+
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each way a range can be entered (the open segment goes on for so many of its first
     documents), how its last segment ends: how many segments begin in it, and what is open."""
@@ -114,10 +146,8 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     rows = pd.concat(held, ignore_index=True)
     counts = rows["fragment_count"].tolist()
-    out = []
-    for taken in range(min(fixed.SEGMENT_DOCS, len(counts)) + 1):
-        starts, (docs, frags) = _walk(counts, taken)
-        out.append((int(rows["_part"].iloc[0]), taken, len(starts), docs, frags, counts[: fixed.SEGMENT_DOCS], len(counts)))
+    part, head = int(rows["_part"].iloc[0]), counts[: fixed.SEGMENT_DOCS]
+    out = [(part, taken, *way, head, len(counts)) for taken, way in enumerate(_ways(counts))]
     yield pd.DataFrame(out, columns=["part", "taken", "begun", "docs", "frags", "head", "rows"])
 
 

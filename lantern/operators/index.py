@@ -8,24 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions.terms import grams
-from lantern.operators.fragments import assign_segments, fragment_rows, number_fragments
+from lantern.operators.fragments import assign_segments, fragment_tables
 from lantern.plans.physical import checkpoint, number_rows, spread
 
-VERSION = 4
-TABLES = ("documents", "fragments", "postings", "doc_postings", "segments", "corpus_stats")
+VERSION = 5
+TABLES = ("documents", "fragments", "postings", "doc_postings", "segments", "corpus_stats", "terms", "vocab_grams")
+#: Tables that indexes of the version before do not have; they are made from its postings.
+NEW_TABLES = ("terms", "vocab_grams")
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def postings(fragments: DataFrame) -> DataFrame:
-    """term, fragment_id, doc_id, tf; counted within each fragment, so nothing is shuffled twice."""
-    return fragments.select("fragment_id", "doc_id", F.explode("terms").alias("term")).groupBy("term", "fragment_id", "doc_id").agg(F.count("*").alias("tf"))
+def doc_postings(posts: DataFrame) -> DataFrame:
+    """term, doc_id, tf, fragments: over a document's fragments, and how many hold the term."""
+    return posts.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.count("*").alias("fragments"))
 
 
-def doc_postings(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+def term_table(doc_posts: DataFrame) -> DataFrame:
+    """term, doc_df, fragment_df: in how many documents and fragments each stands."""
+    return doc_posts.groupBy("term").agg(F.count("*").alias("doc_df"), F.sum("fragments").alias("fragment_df"))
 
 
 def doc_stats(docs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -56,10 +59,6 @@ def segments(documents: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(posts: DataFrame) -> DataFrame:
-    return posts.select("term").distinct()
-
-
 def vocab_grams(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode(grams(F.col("term"))).alias("gram"), "term")
 
@@ -74,30 +73,35 @@ class Index:
     doc_postings: DataFrame
     segments: DataFrame
     corpus_stats: DataFrame
-
-    @property
-    def vocab_grams(self) -> DataFrame:
-        return vocab_grams(vocabulary(self.postings))
+    terms: DataFrame
+    vocab_grams: DataFrame
 
     def counts(self) -> dict[str, int]:
         return {n: getattr(self, n).count() for n in ("documents", "fragments", "segments")}
 
     def save(self, path: str) -> None:
-        """One Parquet directory per table; postings sorted by term, so that row groups can be
+        """One Parquet directory per table; postings and term tables sorted, so that row groups can be
         skipped. The version row is written last: without it there is no index."""
         for name in TABLES:
             df = getattr(self, name)
-            if name in ("postings", "doc_postings"):
-                df = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term").sortWithinPartitions("term")
+            if key := {"postings": "term", "doc_postings": "term", "terms": "term", "vocab_grams": "gram"}.get(name):
+                df = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         self.documents.sparkSession.createDataFrame([(VERSION,)], "version int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
+        """An index of this version, or of the one before with its missing tables made anew."""
         version = spark.read.parquet(f"{path}/meta").first()
-        if version is None or version["version"] != VERSION:
+        if version is None or version["version"] not in (VERSION - 1, VERSION):
             raise ValueError(f"{path} is no index of version {VERSION}")
-        out = cls(**{n: spark.read.parquet(f"{path}/{n}") for n in TABLES})
+        old = version["version"] < VERSION
+        tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES if not (old and n in NEW_TABLES)}
+        if old:
+            tables["doc_postings"] = doc_postings(tables["postings"])
+            tables["terms"] = term_table(tables["doc_postings"])
+            tables["vocab_grams"] = vocab_grams(tables["terms"])
+        out = cls(**tables)
         stats = out.corpus_stats.first()
         if stats is None or (out.documents.count(), out.fragments.count()) != (stats["n_docs"], stats["n_fragments"]):
             raise ValueError(f"{path}: tables do not agree")
@@ -108,13 +112,14 @@ def build(docs: DataFrame, numbered: bool = False) -> Index:
     """An index of docs (path, title, type, text; doc_id if numbered, else by rank of path)."""
     if not numbered:
         docs = number_rows(docs, "doc_id", "path")
-    frags = checkpoint(number_fragments(fragment_rows(spread(docs))))
+    frags, posts = fragment_tables(spread(docs))
     listed = doc_stats(docs.select("doc_id", "path", "title", "type"), frags)
     total = frags.agg(F.count("*").alias("total"))
     listed = checkpoint(listed.crossJoin(F.broadcast(total)).withColumn("first_fragment_id", F.coalesce("first_fragment_id", "total")).drop("total"))
     documents = listed.join(assign_segments(listed), "doc_id")
-    posts = postings(frags)
-    return Index(documents, frags.drop("terms"), posts, doc_postings(posts), segments(documents), corpus_stats(documents, frags))
+    by_doc = doc_postings(posts)
+    known = term_table(by_doc)
+    return Index(documents, frags, posts, by_doc, segments(documents), corpus_stats(documents, frags), known, vocab_grams(known))
 
 
 def add_documents(docs: DataFrame, more: DataFrame) -> Index:

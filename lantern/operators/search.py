@@ -9,6 +9,7 @@ from lantern.functions import fixed
 from lantern.functions.terms import fold, trim
 from lantern.operators.expand import base_terms, expand
 from lantern.operators.index import Index, idf
+from lantern.plans.physical import checkpoint
 
 #: A batch of expanded query terms under this many rows is broadcast to the postings; others shuffle.
 BROADCAST_TERMS = 200_000
@@ -26,30 +27,34 @@ def folded_queries(queries: DataFrame) -> DataFrame:
     return queries.select("qid", trim(fold("text")).alias("folded"))
 
 
-def score_docs(index: Index, expanded: DataFrame, rows: int | None = None) -> DataFrame:
-    """qid, doc_id, score: the sum over expanded terms of weight, rarity and saturated frequency."""
-    asked = _small(expanded, rows)
+def _asked(index: Index, expanded: DataFrame, base: DataFrame | None, df: str, rows: int | None) -> DataFrame:
+    """The expanded terms that the index knows, with their counts and whether they are the query's own (own)."""
+    own = expanded.withColumn("own", F.lit(0))
+    if base is not None:
+        own = expanded.join(_small(base.select("qid", "term", F.lit(1).alias("own")), rows), ["qid", "term"], "left").fillna(0, ["own"])
+    return _small(index.terms.select("term", F.col(df).alias("df")).join(_small(own, rows), "term"), rows)
+
+
+def score_docs(index: Index, expanded: DataFrame, rows: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """qid, doc_id, score: the sum over expanded terms of weight, rarity and saturated frequency; n_found: how
+    many of base stand in the document."""
     stats = F.broadcast(index.corpus_stats)  # one row
-    hits = index.doc_postings.join(asked, "term")
-    df = index.doc_postings.join(_small(expanded.select("term").distinct(), rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(index.documents.select("doc_id", "length"), "doc_id").crossJoin(stats)
+    hits = index.doc_postings.join(_asked(index, expanded, base, "doc_df", rows), "term")
+    scored = hits.join(index.documents.select("doc_id", "length"), "doc_id").crossJoin(stats)
     part = F.col("weight") * idf(F.col("n_docs"), F.col("df")) * bm25(F.col("tf"), F.col("length"), F.col("avg_doc_len"))
-    return scored.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    return scored.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"), F.sum("own").alias("n_found"))
 
 
-def coverage(postings: DataFrame, base: DataFrame, key: str, rows: int | None = None) -> DataFrame:
-    """qid, key, coverage: the share of a query's base terms that stand there."""
-    n = base.groupBy("qid").agg(F.count("*").alias("n_base"))
-    found = postings.join(_small(base.select("qid", "term"), rows), "term").groupBy("qid", key).agg(F.count("*").alias("n_found"))
-    return found.join(_small(n, rows), "qid").select("qid", key, (F.col("n_found") / F.col("n_base")).alias("coverage"))
+def _coverage(base: DataFrame, rows: int | None) -> DataFrame:
+    return _small(base.groupBy("qid").agg(F.count("*").alias("n_base")), rows)
 
 
 def boost_docs(index: Index, scores: DataFrame, base: DataFrame, queries: DataFrame, rows: int | None = None) -> DataFrame:
-    """scores with coverage, title and path taken into account."""
-    d = scores.join(coverage(index.doc_postings, base, "doc_id", rows), ["qid", "doc_id"], "left")
+    """scores (of score_docs() with base) with coverage, title and path taken into account."""
+    d = scores.join(_coverage(base, rows), "qid")
     d = d.join(index.documents.select("doc_id", "title", "path"), "doc_id").join(_small(folded_queries(queries), rows), "qid")
     long = F.octet_length("folded") >= 4
-    score = F.col("score") * (0.88 + 0.34 * F.coalesce("coverage", F.lit(0.0)))
+    score = F.col("score") * (0.88 + 0.34 * (F.col("n_found") / F.col("n_base")))
     score = score + F.when(long & F.contains(fold("title"), F.col("folded")), 2.25).otherwise(0.0)
     score = score + F.when(long & F.contains(fold("path"), F.col("folded")), 1.0).otherwise(0.0)
     return d.select("qid", "doc_id", score.alias("score"))
@@ -70,35 +75,33 @@ def segment_limit(limit: int) -> int:
 
 
 def segment_top(index: Index, docs: DataFrame, limit: int) -> DataFrame:
-    """qid, segment_id, score, place of the best segments by their share of the best documents."""
-    top = docs.where(F.col("place") <= doc_limit(limit)).join(index.documents.select("doc_id", "segment_id"), "doc_id")
+    """qid, segment_id, score, place of the best segments by their share of the best of docs (boosted scores).
+
+    The best documents are kept in each task before they meet, here and in candidates()."""
+    top = ranked(docs, "doc_id").where(F.col("place") <= doc_limit(limit)).join(index.documents.select("doc_id", "segment_id"), "doc_id")
     return ranked(top.groupBy("qid", "segment_id").agg(F.sum("score").alias("score")), "segment_id").where(F.col("place") <= segment_limit(limit))
 
 
 def candidates(index: Index, docs: DataFrame, limit: int) -> DataFrame:
-    """qid, doc_id, doc_score: documents of the best segments, from the whole ranking down to the limit."""
+    """qid, doc_id, doc_score: the best documents of the best segments."""
     allowed = segment_top(index, docs, limit).select("qid", "segment_id")
     rows = docs.join(index.documents.select("doc_id", "segment_id"), "doc_id").join(allowed, ["qid", "segment_id"], "left_semi")
-    again = F.row_number().over(Window.partitionBy("qid").orderBy("place"))
-    return rows.withColumn("again", again).where(F.col("again") <= doc_limit(limit)).select("qid", "doc_id", F.col("score").alias("doc_score"))
+    return ranked(rows, "doc_id").where(F.col("place") <= doc_limit(limit)).select("qid", "doc_id", F.col("score").alias("doc_score"))
 
 
-def score_fragments(index: Index, expanded: DataFrame, chosen: DataFrame, rows: int | None = None) -> DataFrame:
-    """qid, fragment_id, doc_id, doc_score, score; rarity counts all fragments, not the candidates'."""
-    asked = _small(expanded, rows)
-    posts = index.postings.join(asked, "term")
-    df = index.postings.join(_small(expanded.select("term").distinct(), rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = posts.join(chosen, ["qid", "doc_id"]).join(df, "term").join(index.fragments.select("fragment_id", "length"), "fragment_id")
+def score_fragments(index: Index, expanded: DataFrame, chosen: DataFrame, rows: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """qid, fragment_id, doc_id, doc_score, score, n_found; rarity counts all fragments, not the candidates'."""
+    posts = index.postings.join(_asked(index, expanded, base, "fragment_df", rows), "term")
+    hits = posts.join(chosen, ["qid", "doc_id"]).join(index.fragments.select("fragment_id", "length"), "fragment_id")
     part = F.col("weight") * idf(F.col("n_fragments"), F.col("df")) * bm25(F.col("tf"), F.col("length"), F.col("avg_fragment_len"))
-    return hits.crossJoin(F.broadcast(index.corpus_stats)).groupBy("qid", "fragment_id", "doc_id", "doc_score").agg(F.sum(part).alias("score"))
+    return hits.crossJoin(F.broadcast(index.corpus_stats)).groupBy("qid", "fragment_id", "doc_id", "doc_score").agg(F.sum(part).alias("score"), F.sum("own").alias("n_found"))
 
 
 def boost_fragments(index: Index, scores: DataFrame, base: DataFrame, queries: DataFrame, rows: int | None = None) -> DataFrame:
-    d = scores.join(coverage(index.postings, base, "fragment_id", rows), ["qid", "fragment_id"], "left")
-    d = d.join(index.fragments.select("fragment_id", "text", "metadata_only"), "fragment_id")
+    d = scores.join(_coverage(base, rows), "qid").join(index.fragments.select("fragment_id", "text", "metadata_only"), "fragment_id")
     d = d.join(index.documents.select("doc_id", "title"), "doc_id").join(_small(folded_queries(queries), rows), "qid")
     meta, size = F.col("metadata_only"), F.octet_length("folded")
-    score = F.col("score") * (0.85 + 0.30 * F.coalesce("coverage", F.lit(0.0)))
+    score = F.col("score") * (0.85 + 0.30 * (F.col("n_found") / F.col("n_base")))
     score = score + F.col("doc_score") * F.when(meta, 0.10).otherwise(0.18)
     score = score + F.when((size >= 4) & F.contains(fold("text"), F.col("folded")), 1.25).otherwise(0.0)
     score = F.when(meta, score * 0.72 + F.when((size >= 3) & F.contains(fold("title"), F.col("folded")), 3.0).otherwise(0.0)).otherwise(score)
@@ -110,9 +113,10 @@ def search(index: Index, queries: DataFrame, limit: int = 8, fuzzy: bool = True,
 
     A query without terms, or that meets no document, has no rows."""
     base = base_terms(queries)
-    expanded = expand(base, index.vocab_grams if fuzzy else None)
-    rows = expanded.count() if count else None  # decides on broadcasting, nothing else
-    docs = ranked(boost_docs(index, score_docs(index, expanded, rows), base, queries, rows), "doc_id")
+    # Expanded once; the count decides on broadcasting, nothing else.
+    expanded = checkpoint(expand(base, index.vocab_grams if fuzzy else None))
+    rows = expanded.count() if count else None
+    docs = boost_docs(index, score_docs(index, expanded, rows, base), base, queries, rows)
     chosen = candidates(index, docs, limit)
-    found = boost_fragments(index, score_fragments(index, expanded, chosen, rows), base, queries, rows)
+    found = boost_fragments(index, score_fragments(index, expanded, chosen, rows, base), base, queries, rows)
     return ranked(found, "fragment_id").where(F.col("place") <= limit).select("qid", "place", "fragment_id", "doc_id", "score")

@@ -139,3 +139,69 @@ class TaskFile:
         row["completed"] = True
         self.write(rows)
         return True
+
+
+#: The task file beside this module's package, if no other is named.
+DEFAULT_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tasks.json")
+
+
+def ask_text(label: str) -> str:
+    """What is typed, asked again until it is not empty."""
+    while not (value := input(f"{label}: ").strip()):
+        print("It must not be empty.")
+    return value
+
+
+def ask_number(label: str, most: int | None = None) -> int:
+    """A whole number from 1 (to most), asked again until it is one."""
+    while True:
+        text = input(f"{label}: ").strip()
+        try:
+            value = int(text)
+        except ValueError:
+            print("It must be a whole number.")
+            continue
+        if value >= 1 and (most is None or value <= most):
+            return value
+        print(f"It must be from 1 to {most}." if most else "It must be 1 or more.")
+
+
+def menu(spark: SparkSession, path: str) -> None:
+    """Five numbered actions over a task file, until the last is chosen or the input ends."""
+    store = TaskFile(path)
+
+    def add() -> None:
+        new = store.add(ask_text("Title"), ask_number("Difficulty (1-5)", 5), ask_number("Urgency (1-5)", 5), ask_number("Minutes"))
+        row = find(store.read(spark), new["task_id"]).select(priority().alias("priority"), reason().alias("reason")).first()
+        print(f"Added [{new['task_id']}], priority {row['priority']}: {row['reason']}.")
+
+    def show() -> None:
+        lines = [r["line"] for r in listing(store.read(spark)).orderBy("place").collect()]
+        print("\n".join(lines) or "There are no tasks yet.")
+
+    def advise() -> None:
+        best = recommend(store.read(spark)).first()
+        print(f"{best['title']}\n{best['reason']}.\n{best['tip']}" if best else "There is no open task.")
+
+    def finish() -> None:
+        rows = ranked(active(store.read(spark))).orderBy("place").collect()
+        if not rows:
+            print("There is no open task.")
+            return
+        print("\n".join(f"[{r['task_id']}] {r['title']}" for r in rows))
+        print("Done." if store.complete(ask_number("Id")) else "No open task has this id.")
+
+    actions = [("Add a task", add), ("Show all tasks", show), ("Advise", advise), ("Complete a task", finish), ("Leave", None)]
+    try:
+        while True:
+            print("\n".join(["", *(f"{k}. {label}" for k, (label, _) in enumerate(actions, 1))]))
+            choice = input("Number: ").strip()
+            if choice not in [str(k) for k in range(1, len(actions) + 1)]:
+                print(f"It must be a number from 1 to {len(actions)}.")
+                continue
+            act = actions[int(choice) - 1][1]
+            if act is None:
+                return
+            act()
+    except EOFError:
+        return

@@ -4,6 +4,7 @@ one count per range meets on the driver."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in spark.checkpoint.dir, in a folder of our own where that is unset."""
+    """An eager reliable checkpoint in spark.checkpoint.dir. Where that is unset, in a folder of our own on a
+    single machine; on a cluster, whose machines would not see each other's, an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lantern.functions import decode, terms
 from lantern.operators import expand, fragments, grid, index, present, runlog, search, tasks
 from lantern.plans import corpus, sql
+from lantern.plans.physical import spread
 from lantern.plans.sql import INDEX, QUERY, SCORES, SEGMENTS, STAGE2, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +48,7 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(with_(_RAW) + f"SELECT DISTINCT raw AS token, {sql.norm('raw')} AS term FROM raws")
 def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.read(spark, sf_dir, "documents").select(F.explode(terms.raw_tokens("text")).alias("token")).distinct()
-    return d.select("token", terms.normalise(F.col("token")).alias("term"))
+    return terms.with_terms(d, "token")
 
 
 @register(with_(_RAW) + f"SELECT raw AS token, count(*) AS n FROM raws WHERE raw IN ({', '.join(repr(w) for w in terms.fixed.STOP_WORDS)}) GROUP BY ALL")
@@ -58,10 +59,9 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(with_(_RAW) + f"SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS tf FROM (SELECT doc_id, {sql.norm('raw')} AS term, n FROM (SELECT doc_id, raw, count(*) AS n FROM raws GROUP BY ALL)) WHERE term IS NOT NULL GROUP BY ALL")
 def doc_term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.read(spark, sf_dir, "documents").select("doc_id", F.explode(terms.raw_tokens("text")).alias("raw"))
-    # Words are counted before they are reduced to terms: one reduction per word and document.
-    n = d.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).select("doc_id", terms.normalise(F.col("raw")).alias("term"), "n")
-    return n.where("term is not null").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+    d = spread(corpus.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = d.select("doc_id", F.explode(terms.raw_tokens("text")).alias("raw"))
+    return terms.term_rows(words).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @register(with_(*INDEX) + "SELECT doc_id, length, fragment_count, first_fragment_id FROM docs")
@@ -77,7 +77,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(with_(*INDEX) + "SELECT term, count(*) AS df, round(ln(1.0 + (n_docs - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM dposts, stats GROUP BY term, n_docs")
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = _index(spark, sf_dir)
-    d = ix.doc_postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(ix.corpus_stats))
+    d = ix.terms.withColumnRenamed("doc_df", "df").crossJoin(F.broadcast(ix.corpus_stats))
     return d.select("term", "df", F.round(index.idf(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
@@ -131,7 +131,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame, D
     ix, q = _index(spark, sf_dir), corpus.queries(spark, sf_dir)
     base = expand.base_terms(q)
     expanded = expand.alias_expand(base)
-    return ix, q, base, expanded, search.boost_docs(ix, search.score_docs(ix, expanded), base, q)
+    return ix, q, base, expanded, search.boost_docs(ix, search.score_docs(ix, expanded, base=base), base, q)
 
 
 @register(with_(*INDEX, *QUERY, *SCORES) + "SELECT qid, doc_id, round(score, 6) AS score FROM raw_docs")
@@ -149,13 +149,13 @@ def doc_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(with_(*INDEX, *SEGMENTS, *QUERY, *SCORES, *STAGE2) + "SELECT qid, segment_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM top_segments")
 def segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix, *_, boosted = _scored(spark, sf_dir)
-    return search.segment_top(ix, search.ranked(boosted, "doc_id"), sql.LIMIT).select("qid", "segment_id", F.round("score", 6).alias("score"), "place")
+    return search.segment_top(ix, boosted, sql.LIMIT).select("qid", "segment_id", F.round("score", 6).alias("score"), "place")
 
 
 @register(with_(*INDEX, *SEGMENTS, *QUERY, *SCORES, *STAGE2) + "SELECT qid, fragment_id, doc_id, round(score, 6) AS score FROM raw_frags")
 def bm25_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix, _, _, expanded, boosted = _scored(spark, sf_dir)
-    chosen = search.candidates(ix, search.ranked(boosted, "doc_id"), sql.LIMIT)
+    chosen = search.candidates(ix, boosted, sql.LIMIT)
     return search.score_fragments(ix, expanded, chosen).select("qid", "fragment_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -185,12 +185,16 @@ _BEST = f"""asked AS (SELECT r.qid, r.fragment_id, b.terms, unnest({sql.SENTENCE
         FROM asked a LEFT JOIN s_hits USING (qid, fragment_id, k))"""
 
 
-@register(with_(*INDEX, *SEGMENTS, *QUERY, *SCORES, *STAGE2, _BEST) + "SELECT qid, fragment_id, s AS sentence, round(o, 6) AS overlap FROM s_scored WHERE rn = 1 AND strlen(s) <= 520")
+#: As many characters as 520 bytes hold whole, and dots.
+_CUT = f"""CASE WHEN strlen(s) <= {present.ANSWER_BYTES} THEN s
+    ELSE left(s, CAST(list_max(list_filter(range(0, {present.ANSWER_BYTES} + 1), lambda k: strlen(left(s, CAST(k AS INTEGER))) <= {present.ANSWER_BYTES})) AS INTEGER)) || '...' END"""
+
+
+@register(with_(*INDEX, *SEGMENTS, *QUERY, *SCORES, *STAGE2, _BEST) + f"SELECT qid, fragment_id, {_CUT} AS sentence, round(o, 6) AS overlap FROM s_scored WHERE rn = 1")
 def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix, q = _index(spark, sf_dir), corpus.queries(spark, sf_dir)
     found = search.search(ix, q, sql.LIMIT, fuzzy=False).join(ix.fragments.select("fragment_id", "text"), "fragment_id")
     base = expand.base_terms(q).groupBy("qid").agg(F.collect_set("term").alias("base"))
-    # The SQL leaves out sentences over 520 bytes; they are returned here, cut.
     return present.best_sentences(found.join(base, "qid")).select("qid", "fragment_id", "sentence", F.round("overlap", 6).alias("overlap"))
 
 
@@ -213,10 +217,11 @@ def _gone(x: str, classes: str) -> str:
 
 @register(f"""SELECT doc_id, CAST({_gone('text', 'Ѐ-ԯⷠ-ⷿꙀ-ꚟ')} AS INTEGER) AS cyrillic,
     CAST({_gone('text', 'À-ÿ' + chr(0x80) + '-' + chr(0x9f) + chr(0x1c) + chr(0x1d))} AS INTEGER) AS latin1_suspect,
-    CAST({_gone('text', 'A-Za-z0-9Ѐ-ӿÀ-ɏ')} AS INTEGER) AS word_chars FROM documents""")
+    CAST({_gone('text', 'A-Za-z0-9Ѐ-ӿÀ-ɏ')} AS INTEGER) AS word_chars,
+    CAST({_gone('text', chr(1) + '-' + chr(8) + chr(0x0b) + chr(0x0e) + '-' + chr(0x1f) + chr(0x80) + '-' + chr(0x9f))} AS INTEGER) AS controls FROM documents""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = decode.quality(F.col("text"))
-    return corpus.read(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.cyrillic", "q.latin1_suspect", "q.word_chars")
+    return corpus.read(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.cyrillic", "q.latin1_suspect", "q.word_chars", "q.controls")
 
 
 _XML = "regexp_replace(html, '<[^>]+>', '', 'g')"

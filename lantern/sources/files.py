@@ -1,8 +1,8 @@
 """A folder of documents as a table: listing, bytes, text by file type.
 
 Paths are listed on the driver (names and sizes only), because the readers hide files whose
-names start with a dot or an underscore; bytes are read by Spark where its reader can, so that
-any file system works, and by the executors' own open() for hidden names.
+names start with a dot or an underscore; bytes are read by the executors' own open(). Both need a
+file system that is mounted on all machines.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ ENOUGH_BYTES, FALLBACK_BYTES, LITERAL_BYTES = 20, 40, 3
 
 
 def is_skipped(directory: str) -> bool:
-    return directory.lower() in fixed.SKIPPED_DIRECTORIES
+    return directory.lower() in (*fixed.SKIPPED_DIRECTORIES, fixed.CACHE_DIRECTORY)
 
 
 def extension(name: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lantern.operators.fragments import fragment_rows
+from lantern.operators.fragments import fragment_parts, part_terms
 from lantern.operators.index import Index, build
 
 COLUMNS = ("path", "title", "type", "text")
@@ -35,4 +35,4 @@ def load(spark: SparkSession, folder: str) -> Index:
 def term_counts(docs: DataFrame) -> DataFrame:
     """term, tf over a stream of documents, as a running aggregate."""
     numbered = docs.select(F.xxhash64("path").alias("doc_id"), *COLUMNS)
-    return fragment_rows(numbered).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    return part_terms(fragment_parts(numbered)).groupBy("term").agg(F.count("*").alias("tf"))

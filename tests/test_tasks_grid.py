@@ -110,3 +110,45 @@ def test_reach(spark):
     start = spark.createDataFrame([(1, *placed(both=[(3, 3)], sample=[(0, 7)]))], "grid_id int, rocks long, ant int, sample int, home int")
     got = grid.reach(start, 2)
     assert got.count() == 1 + 4 + 8 and got.agg(F.max("depth")).first()[0] == 2
+
+
+def test_task_menu_asks_again(spark, tmp_path, monkeypatch, capsys):
+    """All five actions, with answers that are refused in between."""
+    typed = iter(["2", "7", "", "1", " ", "write", "x", "9", "4", "5", "0", "20", "3", "4", "1", "4", "3", "2", "5"])
+    monkeypatch.setattr("builtins.input", lambda label: next(typed))
+    tasks.menu(spark, str(tmp_path / "t.json"))
+    out = capsys.readouterr().out
+    assert "There are no tasks yet." in out and "It must be a number from 1 to 5." in out and "It must not be empty." in out
+    assert "It must be a whole number." in out and "It must be from 1 to 5." in out and "It must be 1 or more." in out
+    assert "Added [1], priority 16" in out and "Done." in out and out.count("There is no open task.") == 2 and "1. [1] write" in out
+    assert tasks.TaskFile(str(tmp_path / "t.json")).rows()[0]["completed"]
+
+
+def test_planner_matches_the_recorded_quality():
+    """Every family but the slowest ones is won, in about the recorded number of steps."""
+    recorded = {0: 98, 1: 96, 2: 96, 3: 92, 4: 96, 5: 93, 6: 94, 7: 94, 8: 92, 9: 88}
+    total = 0
+    for family in recorded:
+        steps = []
+        for run in range(1, 6):
+            rocks, ant, sample, home = grid.scenario(family, run)
+            steps.append(grid.simulate((rocks, ant, sample), home)[0])
+        assert min(steps) > 0
+        total += (100 * (len(steps) * 256 - sum(steps))) // 256 // len(steps)
+    assert total >= sum(recorded.values()) - 15
+
+
+def test_planner_prefers_what_is_nearer():
+    rocks, ant, sample, home = placed(both=[(3, 3)], sample=[(3, 5)])
+    moves = grid.macro_plan((rocks, ant, sample), home)
+    state = (rocks, ant, sample)
+    for move in moves:
+        state, done = grid.transition(state, "udlr".index(move), home)
+    assert grid.distance(state[2], home) < grid.distance(sample, home)
+    planner = grid.Planner()
+    planner((rocks, ant, sample), home)
+    planner.reset()
+    assert (planner.plan, planner.expected, planner.avoid) == ("", None, -1)
+    # Walled in on all sides: no arrival, and greedy still names a move.
+    shut = placed(rock=[(0, 1), (1, 0), (1, 1), (0, 2), (2, 0)], both=[(0, 0)], sample=[(7, 7)])
+    assert grid.greedy((shut[0], shut[1], shut[2]), shut[3]) in "udlr"
