@@ -12,8 +12,9 @@ compared by 64-bit hashes within their text.
 
 Cases: base_failed is true for a null or empty text (under MIN_WORDS words). A document with
 several labels counts as bad if one of them is 0; rows with a null label or id are not learned
-from. Without labelled rows the list is empty and base_failed alone decides. Repeated rows
-give repeated results; an empty table gives an empty result; extra columns are ignored.
+from. Without labelled rows the list is empty and base_failed alone decides. Ties between
+thresholds of one gain go to the feature that FEATURES names first, then to the lower threshold.
+A very long text is counted whole, within its row. Repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

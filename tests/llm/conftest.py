@@ -18,7 +18,7 @@ def edge_docs(spark):
     words = [" ".join(r.choice(["red", "green", "blue", "Öl", "x1", "###"]) for _ in range(r.randint(1, 90))) for _ in range(12)]
     rows = [row(k, t) for k, t in enumerate(words)]
     rows += [row(20, None), row(21, ""), row(22, " \n\t "), row(None, words[0], None, None), row(23, words[1], "de", None), row(23, words[1], "de", None)]
-    rows += [row(24, words[2] + "\n" + words[3], "fr", "s1"), row(25, "long " * 60_000, None, "s2"), row(26, "日本語 \U0001f600 é", "en", "s3"), row(None, None, None, None)]
+    rows += [row(24, words[2] + "\n" + words[3], "fr", "s1"), row(25, "long " * 260_000, None, "s2"), row(26, "日本語 \U0001f600 é", "en", "s3"), row(None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

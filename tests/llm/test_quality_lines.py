@@ -37,6 +37,42 @@ def test_statistics_against_plain_code(spark, small, edge_docs):
             assert r["base_failed"] == failed and r["kept"] == (not failed)
 
 
+def test_the_whole_query_against_plain_code(spark, small):
+    """Features, list and verdict of every row, without columns."""
+    from lantern.llm import queries
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rules = quality.fit(small, labels)
+
+    def features(text):
+        n, chars, symbols, dup, repeats = base(text)
+        full = sum(bool(words(x)) for x in (text or "").split("\n"))
+        count = lambda p: len(re.findall(p, text or ""))
+        return {
+            "words": float(n), "word_length": chars / max(n, 1), "symbols": symbols / max(chars, 1), "duplicate_lines": dup / max(full, 1),
+            "repeats": repeats / max(n, 1), "capitals": count("[A-Z]") / max(chars, 1), "exclamations": count("!") / max(chars, 1),
+            "digits": count("[0-9]") / max(chars, 1), "words_per_line": n / max(full, 1),
+        }
+
+    want = {}
+    for r in small.collect():
+        n, *_, repeats = base(r["text"])
+        failed = n < 50 or 100 * repeats > 50 * n
+        x = features(r["text"])
+        rejected = any(all((x[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        want[r["doc_id"]] = (*base(r["text"]), failed, not failed and not rejected)
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in queries.op6_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and any(not x[-1] and not x[-2] for x in want.values()) == bool(rules)
+
+
+def test_ties_between_thresholds():
+    """Two features that part the rows alike: the one that is named first is taken."""
+    names = [*quality.FEATURES]
+    rows = [({f: float(k if f in names[2:4] else 0) for f in names}, k >= 30) for k in range(60)]
+    assert quality._grow_one(rows) == quality.Condition(names[2], True, 29.5)
+    assert quality.learn(rows) == quality.learn(list(rows))
+
+
 def test_learning_finds_planted_conjunctions():
     import random
 

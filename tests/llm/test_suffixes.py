@@ -175,7 +175,7 @@ def test_edges(edge_docs, no_docs):
     assert twins[0] == twins[1] and suffixes.remove_repeats(no_docs).count() == 0
     assert {r["n_bytes"] for r in rows if r["doc_id"] in (20, 21)} == {0}
     long = next(r for r in rows if r["doc_id"] == 25)
-    assert long["n_bytes"] == 300_000 and long["n_bytes"] - long["n_removed"] == 5
+    assert long["n_bytes"] == 1_300_000 and long["n_bytes"] - long["n_removed"] == 5
     out = suffixes.without_repeats(edge_docs)
     assert out.columns == edge_docs.columns and out.dtypes == edge_docs.dtypes and out.count() == edge_docs.count()
     assert out.where("text is null").count() == 2 and suffixes.without_repeats(no_docs).count() == 0
