@@ -23,7 +23,8 @@ by prefix tripling where they agree for long.
 
 Before the shuffle, equal runs of one slab of text become a segment in the same way, and
 only its first place travels on: a passage that a third of all documents shares reaches its
-anchor as one row for each slab, a megabyte of text. An anchor with more than OPEN_MAX rows
+anchor as one row for each slab, a megabyte of text. A segment lists PLACES_MAX places; further
+ones are listed by segments of their own, in the documents where those begin. An anchor with more than OPEN_MAX rows
 or ANCHOR_BYTES bytes of runs is never held whole: the places of a run go on in several
 segments, each by itself, and the runs are cut into their strings of MIN bytes, which are
 segments with anchors of their own.
@@ -56,6 +57,8 @@ SLAB, PIECE = 1 << 20, 1 << 18
 BATCH = 900_000
 #: Rows and bytes of one anchor that are held together.
 OPEN_MAX, ANCHOR_BYTES = 16_384, 1 << 20
+#: Further places of a run that one segment lists; the next ones are listed with the first of them.
+PLACES_MAX = 128
 #: Rounds of seven bytes before suffixes are told apart by prefix tripling.
 ROUNDS = 64
 
@@ -474,13 +477,22 @@ def _meet(min_len: int, open_max: int, anchor_bytes: int):
             wanted = busy[of] & (~over[of] | (counts > 1) | ((np.arange(len(heads)) == 0) & later))
             k = np.nonzero(wanted)[0]
             raw = place.tobytes()
-            lo, hi = heads[k], heads[k] + counts[k]
+            lo, hi = heads[k], heads[k] + np.minimum(counts[k], PLACES_MAX + 1)
             others = [raw[32 * (x + 1) : 32 * y] if y > x + 1 else None for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
             # Of an anchor that is not held whole, a run with several places is a segment by itself.
             own = np.where(over[of[k]], ((a[lo].view(np.uint64) * _STEP ^ v[lo].view(np.uint64)) * _STEP + np.uint64(part)).view(np.int64), a[lo])
             alone = (kinds == 1) & ~within & ~over
             kind = np.where((k == 0) & later, LATER, np.where(alone[of[k]], SOLE, SEGMENT))
             yield told(kind, own, place[lo], place["s"][lo] + size[lo], others)
+            # Places beyond what one segment lists: segments by themselves, each with its next ones.
+            starts = [at for x in k[counts[k] > PLACES_MAX + 1].tolist() for at in range(heads[x] + PLACES_MAX + 1, heads[x] + counts[x], PLACES_MAX + 1)]
+            if starts:
+                lo = np.array(starts)
+                stop = heads[np.searchsorted(heads, lo, side="right") - 1] + counts[np.searchsorted(heads, lo, side="right") - 1]
+                hi = np.minimum(lo + PLACES_MAX + 1, stop)
+                others = [raw[32 * (x + 1) : 32 * y] if y > x + 1 else None for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                own = ((a[lo].view(np.uint64) * _STEP ^ v[lo].view(np.uint64)) * _STEP ^ place["t1"][lo].view(np.uint64) + place["s"][lo].view(np.uint64)).view(np.int64)
+                yield told(LATER, own, place[lo], place["s"][lo] + size[lo], others)
             k = np.nonzero(over[of] & ~((np.arange(len(heads)) == 0) & later))[0]
             if len(k):
                 lo = heads[k]

@@ -118,17 +118,29 @@ def steps(rows, batch, open_max=suffixes.OPEN_MAX, anchor_bytes=suffixes.ANCHOR_
     return gone, met
 
 
-@pytest.mark.parametrize("slab", [1, 64, 1000])
-@pytest.mark.parametrize("batch", [7, 50])
+@pytest.mark.parametrize(("slab", "batch"), [(1, 50), (64, 7), (1000, 50)])
 def test_documents_longer_than_a_slab(monkeypatch, slab, batch):
     monkeypatch.setattr(suffixes, "SLAB", slab)
     monkeypatch.setattr(suffixes, "PIECE", slab)
     monkeypatch.setattr(suffixes, "BATCH", 500)
     rows = [(k, t) for k, t in corpus(5, 14)]
     want = plain_removal(rows, 100)
-    for limits in ((16384, 1 << 20), (5, 1 << 20), (16384, 300)):
-        gone, _ = steps([(d, 0, 0, t) for d, t in rows], batch, *limits)
-        assert gone == {(d, 0, 0): g for d, (_, g) in want.items()}
+    for limits in ((16384, 1 << 20), (5, 1 << 20), (16384, 300)) if slab > 1 else ((5, 300),):
+        for places in (128, 2) if slab > 1 else (2,):
+            monkeypatch.setattr(suffixes, "PLACES_MAX", places)
+            gone, _ = steps([(d, 0, 0, t) for d, t in rows], batch, *limits)
+            assert gone == {(d, 0, 0): g for d, (_, g) in want.items()}
+
+
+def test_places_of_a_segment_are_bounded(monkeypatch):
+    """Many copies of one text, each in a slab of its own: no document is asked for more than a few."""
+    monkeypatch.setattr(suffixes, "SLAB", 1)
+    monkeypatch.setattr(suffixes, "PLACES_MAX", 5)
+    text = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    gone, met = steps([(d, 0, 0, text) for d in range(50)], 64)
+    assert {k: sum(g) for k, g in gone.items()} == {(d, 0, 0): 300 * (d > 0) for d in range(50)}
+    asked = met[met.kind != suffixes.REPEAT]
+    assert asked["others"].dropna().map(len).max() == 5 * 32 and asked["doc"].nunique() == 9
 
 
 def test_one_hot_anchor():
