@@ -22,11 +22,14 @@ agree to it are linked besides, however many bits lie between their fingerprints
 Jaccard similarity of 0.8 that is about ten. TABLES more fingerprints a text, each of a
 min-wise sample of SAMPLED shingles, agree in at least one table with a probability of
 0.998 at 0.8 and more above it (1 - (1 - J ** SAMPLED) ** TABLES); they only gather
-candidates. A list of texts that share one is worked off in rounds: a few of its texts are
-hubs, the others are compared with them by their whole shingle sets, and hubs leave the
-list. Texts that are in one component by then need no comparison; a list ends when all that
-are left of it are. Each round takes HUBS_GROW times as many hubs. A task holds the shingle
-set of one hub; the comparisons of a hub go in parts of HUB_PAIRS.
+candidates. Within a list of texts that share one, two are linked if the shared part of
+their whole sets of shingle hashes (64 bits) reaches the similarity. A text is compared with
+the texts of a component until it is linked to it, so a group of copies costs about one
+comparison each. A task holds up to LIST_BYTES of a list's sets. A longer list is worked off
+in rounds instead: a few of its texts are hubs, the others are compared with them, and hubs
+leave the list, which ends when all that are left of it are in one component. Each round
+takes HUBS_GROW times as many hubs; a task holds the set of one hub, whose comparisons go in
+parts of HUB_PAIRS.
 
 Cases: a null text has no words, like an empty one: fingerprint zero, linked like any
 other. Repeated rows and rows of one doc_id each come back. component_id is null only if
@@ -57,8 +60,11 @@ LIST_MAX = 4096
 EDGES_PER_PART = 500_000
 #: Sample fingerprints of a text, and the shingles each is taken of.
 TABLES, SAMPLED = 12, 4
-#: How many times more hubs a list has in each round, and how many texts one task compares with a hub.
-HUBS_GROW, HUB_PAIRS = 8, 2000
+#: About how many hubs a list has at first, how many times more in each round, and how many texts one
+#: task compares with a hub.
+HUBS, HUBS_GROW, HUB_PAIRS = 1, 8, 2000
+#: Bytes of the shingle sets of one list that a task holds.
+LIST_BYTES = 64 << 20
 #: Bytes of shingle sets that a worker puts into one batch.
 SETS_BYTES = 4 << 20
 #: Bytes of a text whose words are held at once.
@@ -293,6 +299,74 @@ def links(distinct: DataFrame, width: int | None = None) -> DataFrame:
     return edges.unionByName(finer.select("u", "v")).distinct()
 
 
+def _scan_lists_of_sets(similarity: float, list_bytes: int):
+    """Rows (key, node, th, hashes) sorted by key and th -> edges (u > v) between nodes that hold texts
+    of this similarity, of a list a spanning forest; or the key of a list that is too long."""
+
+    @released
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = last = None
+        size = 0
+        where: dict[int, int] = {}  # the component of each node
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}  # the nodes and sets of each component
+        for b in batches:
+            out: list[tuple] = []
+            for key, node, th, data in zip(b["key"].tolist(), b["node"].tolist(), b["th"].tolist(), b["hashes"], strict=True):
+                if key != head:
+                    head, last, size, where, held = key, None, 0, {}, {}
+                if th == last or size < 0:  # a repeated row, or a list that has been given up
+                    continue
+                last = th
+                size += len(data)
+                if size > list_bytes and held:
+                    out.append((None, None, key))
+                    size, where, held = -1, {}, {}
+                    continue
+                own = np.frombuffer(data, np.uint64)
+                mine = where.setdefault(node, node)
+                held.setdefault(mine, [])
+                for other in [c for c in held if c != mine]:
+                    for x, hashes in held[other]:
+                        if alike(own, hashes, similarity):
+                            out.append((max(node, x), min(node, x), None))
+                            for moved in {n for n, _ in held[other]}:
+                                where[moved] = mine
+                            held[mine] += held.pop(other)
+                            break
+                held[mine].append((node, own))
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v", "key"]).astype("Int64")
+
+    return run
+
+
+def _within_lists(df: DataFrame, posted: DataFrame, shingle: int, similarity: float, list_bytes: int) -> DataFrame:
+    """u, v of the links within the lists of posted (doc_id, th, node, key); key alone of a list that is too long."""
+    wanted = posted.groupBy("doc_id", "th", "node").agg(F.collect_set("key").alias("keys"))
+    text = F.col("text").cast("string")
+    texts = df.select(sealed("doc_id").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+    @released
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "node", "th", "hashes"]
+        for b in batches:
+            rows, size = [], 0
+            for node, th, keys, text in zip(b["node"].tolist(), b["th"].tolist(), b["keys"], b["text"], strict=True):
+                data = shingle_set(text, shingle).tobytes()
+                for key in keys.tolist():
+                    rows.append((key, node, th, data))
+                    size += len(data)
+                    if size > SETS_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    sets = texts.join(wanted, ["doc_id", "th"]).select("node", "th", "keys", "text").mapInPandas(run, "key long, node long, th long, hashes binary")
+    dealt = sets.repartition(shuffle_width(df.sparkSession), "key").sortWithinPartitions("key", "th")
+    return dealt.mapInPandas(_scan_lists_of_sets(similarity, list_bytes), "u long, v long, key long").distinct()
+
+
 def _scan_sets(similarity: float):
     """Rows (hub, part, kind, node, hashes) sorted so, the hub itself (kind 0) before the texts it is
     compared with -> edges (u > v) between nodes that hold texts of this similarity."""
@@ -349,19 +423,23 @@ def _compared(df: DataFrame, pairs: DataFrame, hubs: DataFrame, shingle: int, si
     return sets.repartition(shuffle_width(df.sparkSession), "hub", "part").sortWithinPartitions(*order).mapInPandas(_scan_sets(similarity), "u long, v long").distinct()
 
 
-def similar_classes(df: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+def similar_classes(df: DataFrame, members: DataFrame, shingle: int, similarity: float, list_bytes: int = LIST_BYTES) -> DataFrame:
     """(node, component) of the nodes of members (doc_id, th, tables, node: a row of df each) that texts of
-    this similarity link; None if there are none to compare."""
+    this similarity link."""
     posted = members.select("doc_id", "th", "node", F.explode("tables").alias("key"))
     # Most lists are of one node; the others alone are kept.
     several = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     left = posted.join(several, "key")
-    edges = found = None
-    hubs, turn = 1, 0
+    within = checkpoint(_within_lists(df, left, shingle, similarity, list_bytes))
+    edges = within.where("key is null").select("u", "v")
+    found = components(edges)
+    long = within.where("key is not null").select("key").distinct()
+    if long.isEmpty():
+        return found
+    left = left.join(long, "key")
+    hubs, turn = HUBS, 0
     while True:
-        now = left.withColumn("component", F.col("node"))
-        if found is not None:
-            now = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         state = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("th").alias("low"), F.count("*").alias("n")).where("a < b")
         chance = F.pmod(F.xxhash64("th", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         now = now.join(state, "key").withColumn("is_hub", (F.col("th") == F.col("low")) | (chance < (hubs - 1) / F.col("n")))
@@ -373,7 +451,7 @@ def similar_classes(df: DataFrame, members: DataFrame, shingle: int, similarity:
         pairs = now.join(of_list, "key").where(others).select("doc_id", "th", "node", "hub").distinct()
         chosen = now.where("is_hub").select("doc_id", "th", "node").distinct()
         new = _compared(df, pairs, chosen, shingle, similarity)
-        edges = checkpoint(new if edges is None else edges.unionByName(new))
+        edges = checkpoint(edges.unionByName(new))
         found = components(edges)
         left = now.where("not is_hub").select("key", "doc_id", "th", "node")
         hubs, turn = hubs * HUBS_GROW, turn + 1
@@ -448,9 +526,8 @@ def keep_one(df: DataFrame, shingle: int = SHINGLE, similarity: float | None = N
         texts = made.groupBy("th").agg(F.min_by(F.struct("doc_id", "fp", "tables"), "doc_id").alias("m")).select("th", "m.*")
         members = texts.join(joined.select("fp", F.col("component").alias("node")), "fp")
         wider = similar_classes(df, members, shingle, similarity)
-        if wider is not None:
-            wider = wider.withColumnRenamed("component", "wide")
-            joined = joined.join(wider, joined["component"] == wider["node"], "left").select("row", F.coalesce("wide", "component").alias("component"))
+        wider = wider.withColumnRenamed("component", "wide")
+        joined = joined.join(wider, joined["component"] == wider["node"], "left").select("row", F.coalesce("wide", "component").alias("component"))
     stays = joined.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(key), F.col("row.th").alias(th))
     keyed = df.withColumn(key, sealed("doc_id")).withColumn(th, F.xxhash64(text))
     left = keyed.join(stays, [key, th], "left_semi")

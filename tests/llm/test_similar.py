@@ -84,6 +84,7 @@ def test_lists_without_a_common_text(spark, monkeypatch):
     assert len(set(want.values())) == 4 and any(jaccard(sets[0], sets[b]) < 0.8 for b in range(1, 10))
     df = spark.createDataFrame([*texts.items(), *[(d, t) for d, t in texts.items() if d % 3 == 0]], "doc_id long, text string")
     members = df.distinct().selectExpr("doc_id", "xxhash64(text) AS th", "array(1L, doc_id DIV 10) AS tables", "doc_id AS node")
-    found = {x["node"]: x["component"] for x in simhash.similar_classes(df, members, 5, 0.8).collect()}
-    assert {d: found.get(d, d) for d in texts} == want
-    assert simhash.similar_classes(df, members.limit(0), 5, 0.8) is None
+    for list_bytes in (simhash.LIST_BYTES, 1):  # held in one task, and in rounds of hubs
+        found = {x["node"]: x["component"] for x in simhash.similar_classes(df, members, 5, 0.8, list_bytes).collect()}
+        assert {d: found.get(d, d) for d in texts} == want
+    assert simhash.similar_classes(df, members.limit(0), 5, 0.8).count() == 0
