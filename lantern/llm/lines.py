@@ -5,9 +5,8 @@ occurrence, by doc_id and line number, stays and all others go. Lines are known
 of hash. One HyperLogLog sketch of sites per line is built before the shuffle and merged
 behind it, so that a line travels as one sketch per task, on however many sites it stands; no
 table of lines and sites is made. A line whose estimate is under MIN_SITES by more than
-BAND stays. The occurrences of the others are looked up. A line whose estimate is over
-MIN_SITES by more than BAND is boilerplate; lines within BAND, and these alone, are
-counted exactly, from their occurrences. A hot line is combined before each grouped shuffle,
+BAND stays, and one whose estimate is over MIN_SITES by more than BAND is boilerplate. Lines
+within BAND, and these alone, are counted exactly, from their occurrences. A hot line is combined before each grouped shuffle,
 and the joins on the line are left to adaptive skew handling.
 
 Cases: lines without a word are never boilerplate and stay. Lines are compared without the
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import SPACES, checkpoint, own_names, sealed
+from lantern.llm.common import SPACES, own_names, sealed
 
 MIN_SITES = 5
 LG_REGISTERS = 12
@@ -52,12 +51,13 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -
     """(doc, th, pos) of every line to remove."""
     lines = _lines(df)
     wide = sketches(lines).where(F.col("sites") >= min_sites * (1 - band))
-    # Occurrences of lines on several sites alone; both branches below read them.
-    places = checkpoint(lines.join(wide, ["h1", "h2"]).withColumn("near", F.col("sites") <= min_sites * (1 + band)))
-    near = places.where("near")
-    counted = near.groupBy("h1", "h2").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites)
-    chosen = places.where("not near").unionByName(near.join(counted.select("h1", "h2"), ["h1", "h2"], "left_semi"))
-    return chosen.where(F.struct("doc", "th", "pos") != F.col("first")).select("doc", "th", "pos")
+    near = wide.where(F.col("sites") <= min_sites * (1 + band))
+    counted = lines.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("n"))
+    enough = counted.where(F.col("n") >= min_sites).select("h1", "h2")
+    # The sketches' exchange is read again for each branch, not made again.
+    chosen = wide.where(F.col("sites") > min_sites * (1 + band)).unionByName(near.join(enough, ["h1", "h2"], "left_semi")).select("h1", "h2", "first")
+    # Nothing above this join needs a line's rows together, so a hot line's can be split.
+    return lines.join(chosen, ["h1", "h2"]).where(F.struct("doc", "th", "pos") != F.col("first")).select("doc", "th", "pos")
 
 
 def marked(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> tuple[DataFrame, str]:
