@@ -112,11 +112,16 @@ def py_normalise(word: str) -> str:
     word = py_fold(word)
     if word in _STOPS:
         return ""
-    stem = re.sub(ENGLISH, r"\1", re.sub(RUSSIAN, r"\1", word))
+    stem = word
+    for pattern, last in _ENDINGS:
+        if stem[-1:] in last and (m := pattern.match(stem)):
+            stem = m[1]
     return "" if len(stem.encode()) <= 1 or stem in _STOPS else stem
 
 
 _FOLD = str.maketrans(UPPER, LOWER)
+#: Both patterns with the letters that their suffixes end in.
+_ENDINGS = tuple((re.compile(p), frozenset(x[-1] for x in s)) for p, s in ((RUSSIAN, fixed.RUSSIAN_SUFFIXES), (ENGLISH, fixed.ENGLISH_SUFFIXES)))
 _STOPS = frozenset(fixed.STOP_WORDS)
 PY_WORD = re.compile(f"(?:{WORD})")
 

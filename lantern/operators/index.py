@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions.terms import grams
-from lantern.operators.fragments import assign_segments, fragment_tables
-from lantern.plans.physical import checkpoint, number_rows, spread
+from lantern.operators.fragments import assign_segments, document_rows, fragment_tables
+from lantern.plans.physical import number_rows
 
 VERSION = 5
 TABLES = ("documents", "fragments", "postings", "doc_postings", "segments", "corpus_stats", "terms", "vocab_grams")
@@ -31,16 +31,6 @@ def term_table(doc_posts: DataFrame) -> DataFrame:
     return doc_posts.groupBy("term").agg(F.count("*").alias("doc_df"), F.sum("fragments").alias("fragment_df"))
 
 
-def doc_stats(docs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """docs with length, fragment_count and first_fragment_id; a document without fragments has 0, 0 and the fragment total."""
-    sums = fragments.groupBy("doc_id").agg(
-        F.sum("length").alias("length"), F.count("*").alias("fragment_count"), F.min("fragment_id").alias("first_fragment_id")
-    )
-    return docs.join(sums, "doc_id", "left").select(
-        *docs.columns, F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("fragment_count", F.lit(0)).alias("fragment_count"), "first_fragment_id"
-    )
-
-
 def corpus_stats(documents: DataFrame, fragments: DataFrame) -> DataFrame:
     """One row: n_docs, n_fragments, avg_doc_len, avg_fragment_len; an average of 0 counts as 1."""
 
@@ -101,6 +91,8 @@ class Index:
             tables["doc_postings"] = doc_postings(tables["postings"])
             tables["terms"] = term_table(tables["doc_postings"])
             tables["vocab_grams"] = vocab_grams(tables["terms"])
+        if "length" not in tables["doc_postings"].columns:  # as they were once saved
+            tables["doc_postings"] = tables["doc_postings"].join(tables["documents"].select("doc_id", "length"), "doc_id")
         out = cls(**tables)
         stats = out.corpus_stats.first()
         if stats is None or (out.documents.count(), out.fragments.count()) != (stats["n_docs"], stats["n_fragments"]):
@@ -108,18 +100,21 @@ class Index:
         return out
 
 
-def build(docs: DataFrame, numbered: bool = False) -> Index:
-    """An index of docs (path, title, type, text; doc_id if numbered, else by rank of path)."""
+def build(docs: DataFrame, numbered: bool = False, by_characters: bool = False) -> Index:
+    """An index of docs (path, title, type, text; doc_id if numbered, else by rank of path).
+
+    by_characters: a stretch without an end of a sentence is cut after FRAGMENT_BYTES characters, not bytes."""
     if not numbered:
         docs = number_rows(docs, "doc_id", "path")
-    frags, posts = fragment_tables(spread(docs))
-    listed = doc_stats(docs.select("doc_id", "path", "title", "type"), frags)
-    total = frags.agg(F.count("*").alias("total"))
-    listed = checkpoint(listed.crossJoin(F.broadcast(total)).withColumn("first_fragment_id", F.coalesce("first_fragment_id", "total")).drop("total"))
-    documents = listed.join(assign_segments(listed), "doc_id")
-    by_doc = doc_postings(posts)
+    rows = document_rows(docs, by_characters)
+    frags, posts = fragment_tables(rows)
+    total = rows.agg(F.coalesce(F.sum("fragment_count"), F.lit(0)).alias("total"))
+    listed = rows.select("doc_id", "path", "title", "type", "length", "fragment_count", "first").crossJoin(F.broadcast(total))
+    listed = listed.withColumn("first_fragment_id", F.when(F.col("fragment_count") > 0, F.col("first")).otherwise(F.col("total"))).drop("first", "total")
+    documents = listed.join(assign_segments(rows.select("doc_id", "fragment_count")), "doc_id")
+    by_doc = rows.select("doc_id", "length", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", F.size("t.places").cast("long").alias("fragments"), "length")
     known = term_table(by_doc)
-    return Index(documents, frags, posts, by_doc, segments(documents), corpus_stats(documents, frags), known, vocab_grams(known))
+    return Index(documents, frags, posts, by_doc, segments(documents), corpus_stats(listed, frags), known, vocab_grams(known))
 
 
 def add_documents(docs: DataFrame, more: DataFrame) -> Index:

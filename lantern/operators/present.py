@@ -12,6 +12,8 @@ from lantern.functions.terms import BLANKS, PY_WORD, py_fold, py_normalise, term
 from lantern.operators.expand import base_terms, expand
 from lantern.operators.fragments import sentences
 from lantern.operators.index import Index
+from lantern.operators.search import fragments_of
+from lantern.plans.physical import checkpoint
 
 MARK, PLAIN = "\x1b[1;33m", "\x1b[0m"
 BEFORE, AFTER, NO_MATCH = 220, 420, 180
@@ -73,7 +75,7 @@ def present(index: Index, queries: DataFrame, results: DataFrame, colour: bool =
     """qid, place, score, source, snippet of ranked results, ready to print."""
     wanted = expand(base_terms(queries), index.vocab_grams if fuzzy else None).groupBy("qid").agg(F.collect_set("term").alias("wanted"))
     rows = (
-        results.join(index.fragments.select("fragment_id", "ordinal", "text", "metadata_only"), "fragment_id")
+        fragments_of(index, checkpoint(results), "ordinal", "text", "metadata_only")
         .join(index.documents.select("doc_id", "path"), "doc_id").join(wanted, "qid")
         .select("qid", "place", "score", F.concat("path", anchor(F.col("metadata_only"), F.col("ordinal"))).alias("source"), "text", "wanted")
     )
@@ -89,8 +91,8 @@ def present(index: Index, queries: DataFrame, results: DataFrame, colour: bool =
 def answers(index: Index, queries: DataFrame, results: DataFrame) -> DataFrame:
     """qid, place, answer, source: the best sentence of up to five results."""
     base = base_terms(queries).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("base"))
-    top = results.where(F.col("place") <= ANSWERS)
-    rows = top.join(index.fragments.select("fragment_id", "ordinal", "text", "metadata_only"), "fragment_id").join(index.documents.select("doc_id", "path"), "doc_id")
+    top = checkpoint(results.where(F.col("place") <= ANSWERS))
+    rows = fragments_of(index, top, "ordinal", "text", "metadata_only").join(index.documents.select("doc_id", "path"), "doc_id")
     found = best_sentences(rows.join(base, "qid").select("qid", "fragment_id", "text", "base"))
     source = F.concat("path", anchor(F.col("metadata_only"), F.col("ordinal"))).alias("source")
     text = F.coalesce("sentence", _cut_bytes(F.col("text"), ANSWER_TAIL_BYTES)).alias("answer")

@@ -39,8 +39,7 @@ def score_docs(index: Index, expanded: DataFrame, rows: int | None = None, base:
     """qid, doc_id, score: the sum over expanded terms of weight, rarity and saturated frequency; n_found: how
     many of base stand in the document."""
     stats = F.broadcast(index.corpus_stats)  # one row
-    hits = index.doc_postings.join(_asked(index, expanded, base, "doc_df", rows), "term")
-    scored = hits.join(index.documents.select("doc_id", "length"), "doc_id").crossJoin(stats)
+    scored = index.doc_postings.join(_asked(index, expanded, base, "doc_df", rows), "term").crossJoin(stats)
     part = F.col("weight") * idf(F.col("n_docs"), F.col("df")) * bm25(F.col("tf"), F.col("length"), F.col("avg_doc_len"))
     return scored.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"), F.sum("own").alias("n_found"))
 
@@ -49,14 +48,20 @@ def _coverage(base: DataFrame, rows: int | None) -> DataFrame:
     return _small(base.groupBy("qid").agg(F.count("*").alias("n_base")), rows)
 
 
+def _named(index: Index, queries: DataFrame, rows: int | None) -> DataFrame:
+    """qid, doc_id, in_title, in_path: the documents whose title or path holds a whole query. They are few, so that the
+    scores of all documents need not meet the titles."""
+    d = index.documents.select("doc_id", fold("title").alias("title"), fold("path").alias("path"))
+    asked = _small(folded_queries(queries).where(F.octet_length("folded") >= 4), rows)
+    title, path = F.contains("title", "folded"), F.contains("path", "folded")
+    return d.join(asked, title | path).select("qid", "doc_id", title.alias("in_title"), path.alias("in_path"))
+
+
 def boost_docs(index: Index, scores: DataFrame, base: DataFrame, queries: DataFrame, rows: int | None = None) -> DataFrame:
     """scores (of score_docs() with base) with coverage, title and path taken into account."""
-    d = scores.join(_coverage(base, rows), "qid")
-    d = d.join(index.documents.select("doc_id", "title", "path"), "doc_id").join(_small(folded_queries(queries), rows), "qid")
-    long = F.octet_length("folded") >= 4
+    d = scores.join(_coverage(base, rows), "qid").join(_named(index, queries, rows), ["qid", "doc_id"], "left")
     score = F.col("score") * (0.88 + 0.34 * (F.col("n_found") / F.col("n_base")))
-    score = score + F.when(long & F.contains(fold("title"), F.col("folded")), 2.25).otherwise(0.0)
-    score = score + F.when(long & F.contains(fold("path"), F.col("folded")), 1.0).otherwise(0.0)
+    score = score + F.when(F.col("in_title"), 2.25).otherwise(0.0) + F.when(F.col("in_path"), 1.0).otherwise(0.0)
     return d.select("qid", "doc_id", score.alias("score"))
 
 
@@ -84,21 +89,28 @@ def segment_top(index: Index, docs: DataFrame, limit: int) -> DataFrame:
 
 def candidates(index: Index, docs: DataFrame, limit: int) -> DataFrame:
     """qid, doc_id, doc_score: the best documents of the best segments."""
-    allowed = segment_top(index, docs, limit).select("qid", "segment_id")
-    rows = docs.join(index.documents.select("doc_id", "segment_id"), "doc_id").join(allowed, ["qid", "segment_id"], "left_semi")
-    return ranked(rows, "doc_id").where(F.col("place") <= doc_limit(limit)).select("qid", "doc_id", F.col("score").alias("doc_score"))
+    allowed = checkpoint(segment_top(index, docs, limit).select("qid", "segment_id"))
+    n = allowed.count()  # with at most SEGMENT_DOCS documents each
+    members = index.documents.select("doc_id", "segment_id").join(_small(allowed, n), "segment_id").select("qid", "doc_id")
+    return ranked(docs.join(_small(members, n * fixed.SEGMENT_DOCS), ["qid", "doc_id"], "left_semi"), "doc_id").where(F.col("place") <= doc_limit(limit)).select("qid", "doc_id", F.col("score").alias("doc_score"))
 
 
 def score_fragments(index: Index, expanded: DataFrame, chosen: DataFrame, rows: int | None = None, base: DataFrame | None = None) -> DataFrame:
     """qid, fragment_id, doc_id, doc_score, score, n_found; rarity counts all fragments, not the candidates'."""
     posts = index.postings.join(_asked(index, expanded, base, "fragment_df", rows), "term")
-    hits = posts.join(chosen, ["qid", "doc_id"]).join(index.fragments.select("fragment_id", "length"), "fragment_id")
+    chosen = checkpoint(chosen)  # few documents of each query; as they are small, their postings alone travel
+    hits = posts.join(_small(chosen, chosen.count()), ["qid", "doc_id"]).join(index.fragments.select("fragment_id", "length"), "fragment_id")
     part = F.col("weight") * idf(F.col("n_fragments"), F.col("df")) * bm25(F.col("tf"), F.col("length"), F.col("avg_fragment_len"))
     return hits.crossJoin(F.broadcast(index.corpus_stats)).groupBy("qid", "fragment_id", "doc_id", "doc_score").agg(F.sum(part).alias("score"), F.sum("own").alias("n_found"))
 
 
+def fragments_of(index: Index, results: DataFrame, *columns: str) -> DataFrame:
+    """results (fragment_id, ...; a checkpoint) with columns of their fragments; texts do not travel where results are few."""
+    return index.fragments.select("fragment_id", *columns).join(_small(results, results.count()), "fragment_id")
+
+
 def boost_fragments(index: Index, scores: DataFrame, base: DataFrame, queries: DataFrame, rows: int | None = None) -> DataFrame:
-    d = scores.join(_coverage(base, rows), "qid").join(index.fragments.select("fragment_id", "text", "metadata_only"), "fragment_id")
+    d = fragments_of(index, checkpoint(scores), "text", "metadata_only").join(_coverage(base, rows), "qid")
     d = d.join(index.documents.select("doc_id", "title"), "doc_id").join(_small(folded_queries(queries), rows), "qid")
     meta, size = F.col("metadata_only"), F.octet_length("folded")
     score = F.col("score") * (0.85 + 0.30 * (F.col("n_found") / F.col("n_base")))
@@ -108,14 +120,19 @@ def boost_fragments(index: Index, scores: DataFrame, base: DataFrame, queries: D
     return d.select("qid", "fragment_id", "doc_id", score.alias("score"))
 
 
+def asked_terms(index: Index, queries: DataFrame, fuzzy: bool, count: bool = True) -> tuple[DataFrame, DataFrame, int | None]:
+    """Base and expanded terms, and how many of these there are. Expanded once; the count decides on broadcasting,
+    nothing else."""
+    base = base_terms(queries)
+    expanded = checkpoint(expand(base, index.vocab_grams if fuzzy else None))
+    return base, expanded, expanded.count() if count else None
+
+
 def search(index: Index, queries: DataFrame, limit: int = 8, fuzzy: bool = True, count: bool = True) -> DataFrame:
     """qid, place, fragment_id, doc_id, score: the best fragments of every query (qid, text).
 
     A query without terms, or that meets no document, has no rows."""
-    base = base_terms(queries)
-    # Expanded once; the count decides on broadcasting, nothing else.
-    expanded = checkpoint(expand(base, index.vocab_grams if fuzzy else None))
-    rows = expanded.count() if count else None
+    base, expanded, rows = asked_terms(index, queries, fuzzy, count)
     docs = boost_docs(index, score_docs(index, expanded, rows, base), base, queries, rows)
     chosen = candidates(index, docs, limit)
     found = boost_fragments(index, score_fragments(index, expanded, chosen, rows, base), base, queries, rows)

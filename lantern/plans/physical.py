@@ -6,13 +6,14 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in spark.checkpoint.dir. Where that is unset, in a folder of our own on a
+def _shared(df: DataFrame) -> None:
+    """Sees to it that a checkpoint folder is set: spark.checkpoint.dir. Where that is unset, a folder of our own on a
     single machine; on a cluster, whose machines would not see each other's, an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -21,9 +22,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """An eager reliable checkpoint in the checkpoint folder."""
+    _shared(df)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df by way of Parquet in the checkpoint folder, for wide rows: a checkpoint is not compressed and is always read
+    whole. The files go when the driver ends."""
+    _shared(df)
+    spark = df.sparkSession
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ranges(df: DataFrame, *keys: str, part: str = "_part") -> DataFrame:
     """df in sorted ranges of keys, each row with its range's number; checkpointed, so that the
     ranges are the same each time they are read."""
@@ -49,14 +67,6 @@ def number_rows(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return ranged.withColumn(name, (local + offsets(ranged, F.lit(1))).cast("long")).drop("_part")
 
 
-def running_before(df: DataFrame, name: str, weight: str, *keys: str) -> DataFrame:
-    """df with the sum of weight over the rows before each in the order of keys."""
-    ranged = ranges(df, *keys)
-    w = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(weight).over(w), F.lit(0))
-    return ranged.withColumn(name, (local + offsets(ranged, F.col(weight))).cast("long")).drop("_part")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as the cluster has slots, if its input has fewer parts; as it is otherwise."""
     slots = df.sparkSession.sparkContext.defaultParallelism
