@@ -36,6 +36,8 @@ SHARD_ROWS = 40_000
 #: A sequence with at most this many free places is emitted without another round.
 NEARLY_FULL = 4
 MEMO = 400_000
+#: New pre-tokens that go to the tokenizer in one call.
+LEARNED = 16_000
 
 #: Texts of these characters alone are split into pre-tokens here; others go whole
 #: to the tokenizer. On these characters the pattern is the tokenizer's own.
@@ -110,10 +112,11 @@ class Encoder:
             else:
                 bare.append(w)
         for words, apart in ((spaced, "\n"), (bare, f"\n{self.newline}\n")):
-            parts = [words[k : k + 4000] for k in range(0, len(words), 4000)]
-            texts = [apart.join("\n".join(p).encode().decode("latin-1").translate(self.shown).split("\n")) for p in parts]
-            for part, e in zip(parts, self.inner.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
+            for k in range(0, len(words), LEARNED):
+                part = words[k : k + LEARNED]
+                text = apart.join("\n".join(part).encode().decode("latin-1").translate(self.shown).split("\n"))
+                # One text a call: several are dealt to threads, whose waiting costs more CPU than the work.
+                ids = np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                 if words is spaced:
                     lo = np.nonzero(self.opens[ids])[0].tolist()
                     hi = [*lo[1:], len(ids)]

@@ -37,6 +37,22 @@ def test_long_texts_go_in_portions(encoder, monkeypatch):
         assert np.frombuffer(codec.encode([t])[0][0], "<u4").tolist() == codec.other.encode(t)
 
 
+def test_new_pre_tokens_go_one_text_a_call(encoder, monkeypatch):
+    """Several texts in a call start threads, whose waiting took a quarter of the operator's CPU."""
+    calls, inner = [], encoder.inner
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "inner", Counted())
+    monkeypatch.setattr(encoder, "memo", {})
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q" for k in range(17_000))
+    assert encoder.batch([text, "plain"]) == [encoder._ids(text), encoder._ids("plain")]
+    assert len(calls) > 2 and set(calls) == {1}
+
+
 def check_packed(rows, texts, encoder, size):
     by = {}
     for r in rows:
