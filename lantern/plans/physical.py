@@ -24,10 +24,18 @@ def _shared(df: DataFrame) -> None:
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
+def _free_shuffles(df: DataFrame) -> None:
+    """Spark removes the files of a shuffle that nothing refers to once the driver collects garbage, which by itself may
+    be after the end of the query; until then they stand beside what was made of them."""
+    df.sparkSession._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint in the checkpoint folder."""
     _shared(df)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _free_shuffles(df)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -39,6 +47,7 @@ def stored(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
+    _free_shuffles(df)
     return spark.read.schema(df.schema).parquet(path)
 
 

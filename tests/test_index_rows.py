@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import fixed
 from lantern.operators import fragments, index, search
+from lantern.plans.physical import stored
 from lantern.plans.queries import ORACLES, QUERIES
 from tests.test_index_search import docs_of
 
@@ -66,6 +68,25 @@ def test_an_index_takes_little_disk(spark):
     assert len(found) == 8 and _bytes(root) - before < 2 * sum(map(len, texts))
 
 
+def _shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_the_shuffle_of_texts_goes_once_they_are_stored(spark):
+    docs = docs_of(spark, [f"some words {k}. " * 50 for k in range(40)])
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = _shuffled(spark)
+    rows = stored(docs.repartition(3, "doc_id"))
+    time.sleep(1)
+    stored(spark.range(1))  # what the first one left goes with the next at the latest
+    end = time.monotonic() + 3
+    while (left := _shuffled(spark) - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and rows.count() == 40
+
+
 def test_an_empty_table_has_an_empty_index(spark):
     ix = index.build(docs_of(spark, []), numbered=True)
     assert ix.counts() == {"documents": 0, "fragments": 0, "segments": 0} and ix.corpus_stats.first()["avg_doc_len"] == 1.0
