@@ -18,6 +18,7 @@ are ignored. A very long text is cut, never shortened.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ NEARLY_FULL = 4
 MEMO = 400_000
 #: New pre-tokens that go to the tokenizer in one call.
 LEARNED = 16_000
+#: Of these, those that stand together in a line: each line costs the tokenizer something of its own.
+LINE = 32
 
 #: Texts of these characters alone are split into pre-tokens here; others go whole
 #: to the tokenizer. On these characters the pattern is the tokenizer's own.
@@ -86,6 +89,7 @@ class Encoder:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = (b for b in range(256) if b not in printable)
         self.shown = {b: chr(256 + k) for k, b in enumerate(others) if b != 10}
+        self.alphabet = "".join(self.shown.get(b, chr(b)) for b in range(256))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.newline = chr(256 + list(b for b in range(256) if b not in printable).index(10))
         self.newline_id = vocabulary[self.newline]
@@ -101,8 +105,8 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Many pre-tokens go in one call, set apart by newlines, which none of them holds."""
+    def _learn(self, new: set[str]) -> None:
+        """Many pre-tokens go in one call, in lines; none of them holds a newline."""
         spaced, bare = [], []
         for w in new:
             if w[0] == " " and len(w) > 1 and w[1] not in " \n":
@@ -111,10 +115,14 @@ class Encoder:
                 self.memo[w] = self._ids(w)
             else:
                 bare.append(w)
-        for words, apart in ((spaced, "\n"), (bare, f"\n{self.newline}\n")):
+        for words in (spaced, bare):
             for k in range(0, len(words), LEARNED):
                 part = words[k : k + LEARNED]
-                text = apart.join("\n".join(part).encode().decode("latin-1").translate(self.shown).split("\n"))
+                # Nothing is merged with a space behind it, so those with one can share a line.
+                lines = ["".join(part[j : j + LINE]) for j in range(0, len(part), LINE)] if words is spaced else part
+                text = codecs.charmap_decode("\n".join(lines).encode(), "strict", self.alphabet)[0]
+                if words is bare:
+                    text = text.replace("\n", f"\n{self.newline}\n")
                 # One text a call: several are dealt to threads, whose waiting costs more CPU than the work.
                 ids = np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                 if words is spaced:
@@ -137,7 +145,7 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = set().union(*(x for x in plain if x))
-        self._learn(sorted(new))
+        self._learn(new)
         self.memo[""] = b""
         return [self._ids(x) if p is None else b"".join(itemgetter(*p, "")(self.memo)) for x, p in zip(texts, plain, strict=True)]
 

@@ -53,6 +53,27 @@ def test_new_pre_tokens_go_one_text_a_call(encoder, monkeypatch):
     assert len(calls) > 2 and set(calls) == {1}
 
 
+def test_new_pre_tokens_share_lines(encoder, monkeypatch):
+    """A line of its own for each pre-token costs the tokenizer more CPU; shared ones change no id."""
+    lines, inner = [], encoder.inner
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            lines.extend(x for text in texts for x in text.split("\n"))
+            return inner.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "inner", Counted())
+    monkeypatch.setattr(encoder, "memo", {})
+    r = random.Random(8)
+    kinds = "abehintäéñßÿ", "ABEHINTÄÉÑÀÞ", "0123456789", "!#'-._~"
+    words = ["".join(r.choices(r.choice(kinds), k=r.randint(1, 9))) for _ in range(4000)]
+    text = "".join(f" {w}" for w in words)
+    assert encoder.batch([text]) == [encoder._ids(text)]
+    assert len(encoder.memo) > 3000 and 0 < len(lines) < len(encoder.memo) / 8
+    for w, ids in encoder.memo.items():
+        assert ids == encoder._ids(w)
+
+
 def check_packed(rows, texts, encoder, size):
     by = {}
     for r in rows:
